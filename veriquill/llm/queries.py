@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, chat, decontaminate, licenses, line_templates, near_dedup, pii, quality, substring_dedup, token_files
+from .oracles import ORACLES  # noqa: F401
 from .spark_io import table
 
 
@@ -65,5 +66,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op3_line_dedup, op4_license_scan, op5_token_files, op6_bpe, op7_personal_data, op8_near_duplicates, op9_decontamination, op10_substring_dedup, pipeline)}
-
-ORACLES: dict[str, str] = {}
