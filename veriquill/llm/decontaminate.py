@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .spark_io import materialize
 from .words_sql import NOT_ALNUM, NOT_ALNUM_CASED, lower_ascii, with_key, words
 
 WINDOW = 10
@@ -43,14 +44,15 @@ def prefixes(windows: DataFrame, docs: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs (doc_id, text)."""
     docs = with_key(docs)
-    windows = item_windows(benchmark).persist()
-    prefix = prefixes(windows, docs)
+    windows = materialize(item_windows(benchmark))
+    prefix = materialize(prefixes(windows, docs))
     prefix = F.broadcast(prefix) if windows.count() <= BROADCAST_WINDOWS else prefix
     split = docs.select("doc_id", "th", words(lower_ascii(F.col("text")), NOT_ALNUM).alias("w"))
     placed = split.select("doc_id", "th", "w", F.posexplode("w").alias("pos", "word")).join(prefix, "word")
     start = F.col("pos") - F.col("at")
     fits = (start >= 0) & (start + F.size("window") <= F.size("w"))
     found = placed.where(fits).where(F.slice("w", start + 1, F.size("window")) == F.col("window")).select("doc_id", "th", "window", start.alias("start"))
+    found = materialize(found)
     spans = found.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.size("window")).alias("stop")))).alias("spans"))
     # words in the union of the spans: each span adds what lies beyond all before it
     hit = F.aggregate(
