@@ -14,27 +14,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .spark_io import materialize
-from .words_sql import BLANKS, with_key
+from .words_sql import with_key
 
 DEPTH, SIMILAR, MIN_DOCS, MIN_TOKENS = 3, 0.7, 5, 3
 VARIABLE = "<*>"
 
 
+#: Leaves with several different lines are broadcast up to this number (8 bytes each), joined by a shuffle beyond it.
+BROADCAST_LEAVES = 1_000_000
+
+
 def masked_tokens(line: Column) -> Column:
     """The tokens of a line, those with a digit as VARIABLE."""
-    return F.array_remove(F.split(F.regexp_replace(line, "[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*", VARIABLE), BLANKS), "")
+    line = F.when(line.rlike("[\\x09-\\x0D]"), F.translate(line, "\t\n\x0b\x0c\r", " " * 5)).otherwise(line)
+    line = F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ 0-9]*+[0-9][^ ]*+", VARIABLE)).otherwise(line)
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     rows = rows.select("doc_id", "th", "at", masked_tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
-    return rows.select("*", F.xxhash64("tokens").alias("own"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"))
+    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))
+    return rows.select("doc_id", "th", "at", F.xxhash64("tokens").alias("own"), leaf.alias("leaf"), F.array_join("tokens", " ").alias("masked"))
 
 
-def leaf_templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
+def leaf_templates(lines: DataFrame) -> DataFrame:
     """own, leaf: lines (by the hash of their tokens) that have their leaf's template."""
-    several = lines.groupBy("leaf").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("leaf")
-    members = _lines(docs).join(several, "leaf", "left_semi").dropDuplicates(["own"]).select("leaf", "own", "tokens")
+    several = materialize(lines.groupBy("leaf").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("leaf"))
+    several = F.broadcast(several) if several.count() <= BROADCAST_LEAVES else several
+    members = lines.join(several, "leaf", "left_semi").dropDuplicates(["own"]).select("leaf", "own", F.split("masked", " ").alias("tokens"))
     members = materialize(members)
     tokens = members.select("leaf", "own", F.posexplode("tokens").alias("place", "token"))
     counts = tokens.groupBy("leaf", "place", "token").agg(F.count("*").alias("n"))
@@ -46,8 +54,8 @@ def leaf_templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """doc_id, th, at: places of the lines that go, for docs as with_key() gives them."""
-    lines = materialize(_lines(docs).select("doc_id", "th", "at", "own", "leaf"))
-    grown = leaf_templates(docs, lines).withColumnRenamed("leaf", "grown")
+    lines = materialize(_lines(docs))
+    grown = leaf_templates(lines).withColumnRenamed("leaf", "grown")
     keyed = lines.join(grown, "own", "left").select("doc_id", "th", "at", F.coalesce("grown", "own").alias("template"))
     holders = keyed.select("doc_id", "th", "template").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
     recurring = holders.where(F.col("docs") >= MIN_DOCS).select("template", "first")
