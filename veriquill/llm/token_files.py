@@ -38,6 +38,8 @@ LEVEL = 1
 #: Text for one file, and distinct words that a task remembers the ids of.
 FILE_CHARS = 16 << 20
 REMEMBERED = 600_000
+#: Rows of a manifest, about 100 bytes each, that are broadcast; beyond it they are joined by a shuffle.
+BROADCAST_FILES = 200_000
 
 #: The pre-tokens of the byte-level vocabulary, and texts in which this pattern and the library's are known to agree.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -197,4 +199,6 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_token_files(folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files that the manifest names."""
     files = manifest.sparkSession.read.format("binaryFile").load(f"{folder}/*.tokens").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return files.join(F.broadcast(manifest.select("file", "start")), "file").select("start", "content").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    starts = manifest.select("file", "start")
+    starts = F.broadcast(starts) if manifest.count() <= BROADCAST_FILES else starts
+    return files.join(starts, "file").select("start", "content").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
