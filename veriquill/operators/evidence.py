@@ -75,13 +75,14 @@ def page_runs(rows: DataFrame, key: str, page: str) -> DataFrame:
 def densest_window(texts: DataFrame, quotes: DataFrame, accept: float = 0.55) -> DataFrame:
     """item_id, doc_id, pos, share: where a quote's tokens stand closest. Frames hold 1.5 times the quote's tokens, 8 at least; the weights
     of its distinct tokens in a frame count once; the first best frame of each quote and document is kept if its share is at least `accept`."""
+    few = F.broadcast if quotes.count() <= QUOTE_BLOCK else lambda rows: rows
     quoted = quotes.select("item_id", claim_tokens(F.col("text")).alias("toks"))
     quoted = quoted.select("item_id", F.greatest(F.lit(8), F.floor(F.size("toks") * 1.5)).cast("int").alias("win"), F.explode(F.array_distinct("toks")).alias("tok"))
     quoted = quoted.where(~F.col("tok").isin(STOP_WORDS) & (F.length("tok") > 1))
     quoted = quoted.withColumn("w", F.least(F.length("tok"), F.lit(8)) + F.when(F.col("tok").rlike("[0-9]"), 3).otherwise(0))
     total = quoted.groupBy("item_id").agg(F.sum("w").alias("total"))
     places = texts.select("doc_id", F.posexplode(claim_tokens(F.col("text"))).alias("pos", "tok"))
-    hits = places.join(F.broadcast(quoted), "tok").select("doc_id", "item_id", "pos", "tok", "w", "win")
+    hits = places.join(few(quoted), "tok").select("doc_id", "item_id", "pos", "tok", "w", "win")
     # a token counts in a frame if it is its last occurrence there: those from pos up to its next occurrence or the frame's end
     order = Window.partitionBy("doc_id", "item_id", "tok").orderBy("pos")
     ends = hits.select("*", F.least(F.lead("pos").over(order), F.col("pos") + F.col("win")).alias("upto"))
@@ -90,7 +91,7 @@ def densest_window(texts: DataFrame, quotes: DataFrame, accept: float = 0.55) ->
     steps = steps.groupBy("doc_id", "item_id", "at").agg(F.sum("d").alias("d"))
     running = steps.select("*", F.sum("d").over(Window.partitionBy("doc_id", "item_id").orderBy("at")).alias("score"))
     best = running.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("score", "at"), F.struct("score", -F.col("at"))).alias("b"))
-    out = best.join(F.broadcast(total), "item_id").select("item_id", "doc_id", F.col("b.at").cast("long").alias("pos"), F.round(F.col("b.score") / F.col("total"), 6).alias("share"))
+    out = best.join(few(total), "item_id").select("item_id", "doc_id", F.col("b.at").cast("long").alias("pos"), F.round(F.col("b.score") / F.col("total"), 6).alias("share"))
     return out.where(F.col("share") >= accept)
 
 
