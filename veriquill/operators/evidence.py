@@ -100,3 +100,23 @@ def folio_votes(pages: DataFrame) -> DataFrame:
     carried = pages.select("doc_id", "page", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("(?:^|[^0-9.,])([1-9][0-9]{0,3})(?![0-9.,])"), 1))).alias("v"))
     votes = carried.groupBy("doc_id", (F.col("v").cast("long") - F.col("page")).alias("shift")).agg(F.count_distinct("page").alias("support"))
     return votes.groupBy("doc_id").agg(F.max_by(F.struct("shift", "support"), F.struct("support", -F.col("shift"))).alias("b")).select("doc_id", "b.shift", "b.support")
+
+
+def dense_pages(pages: DataFrame) -> DataFrame:
+    """doc_id, page, text for all pages from 1 to the last one known; those not known are empty."""
+    every = pages.groupBy("doc_id").agg(F.max("page").alias("n")).select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("page"))
+    return every.join(pages, ["doc_id", "page"], "left").select("doc_id", "page", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def offset_notes(labels: DataFrame, least: int = 3, share: float = 0.6) -> DataFrame:
+    """doc_id, shift, hits: how far pages are from their numeric labels, where enough of them agree."""
+    shifts = labels.where(F.col("label").rlike("^[0-9]+$")).groupBy("doc_id", (F.col("page") - F.col("label").cast("long")).alias("shift")).agg(F.count("*").alias("hits"))
+    best = shifts.groupBy("doc_id").agg(F.sum("hits").alias("total"), F.min_by(F.struct("shift", "hits"), F.struct(-F.col("hits"), "shift")).alias("b"))
+    return best.where((F.col("b.hits") >= least) & (F.col("b.hits") >= F.col("total") * share)).select("doc_id", "b.shift", "b.hits")
+
+
+def inverse_frequency(terms: DataFrame, key: str, total: int) -> DataFrame:
+    """term, df, idf: rare terms weigh most; those with digits less."""
+    counts = terms.select(key, "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    damped = F.when(F.col("term").rlike("[0-9]"), 0.3).otherwise(1.0)
+    return counts.withColumn("idf", F.round(F.log(F.lit(float(total)) / (F.col("df") + 1) + 1) * damped, 6))

@@ -1 +1,3 @@
 
+
+from . import queries, records  # noqa: E402, F401
