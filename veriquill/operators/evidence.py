@@ -120,3 +120,12 @@ def inverse_frequency(terms: DataFrame, key: str, total: int) -> DataFrame:
     counts = terms.select(key, "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
     damped = F.when(F.col("term").rlike("[0-9]"), 0.3).otherwise(1.0)
     return counts.withColumn("idf", F.round(F.log(F.lit(float(total)) / (F.col("df") + 1) + 1) * damped, 6))
+
+
+def hashed_embedding(terms: DataFrame, key: str, size: int = 64) -> DataFrame:
+    """key, bucket, v: the entries of a normalised bag of words; a term's hash gives its bucket and sign, its count its weight."""
+    byte = lambda first: F.conv(F.substring(F.md5("term"), first, 2), 16, 10).cast("long")
+    weights = terms.groupBy(key, "term").agg((F.log(F.count("*").cast("double")) + 1).alias("w"))
+    signed = weights.select(key, (byte(1) % size).alias("bucket"), F.when(byte(9) % 2 == 1, F.col("w")).otherwise(-F.col("w")).alias("w"))
+    sums = signed.groupBy(key, "bucket").agg(F.sum("w").alias("v"))
+    return sums.withColumn("v", F.round(F.col("v") / F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key))), 6))

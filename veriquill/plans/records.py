@@ -127,3 +127,14 @@ def interval_peak(spark, d):
 )
 def batch_multiplex(spark, d):
     return R.batch_stream(S.read(spark, d, "events"))
+
+
+@query(
+    """WITH t AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[0-9]+|[a-z]+')) AS term FROM benchmark), f AS (SELECT item_id, md5(term) AS h, 1 + ln(count(*)) AS w FROM t GROUP BY item_id, term),
+    b AS (SELECT item_id, CAST('0x' || substr(h, 1, 2) AS BIGINT) % 64 AS bucket, sum(CASE WHEN CAST('0x' || substr(h, 9, 2) AS BIGINT) % 2 = 1 THEN w ELSE -w END) AS v FROM f GROUP BY item_id, bucket)
+    SELECT item_id, bucket, round(v / sqrt(sum(v * v) OVER (PARTITION BY item_id)), 6) AS v FROM b"""
+)
+def text_embedding(spark, d):
+    items = S.read(spark, d, "benchmark")
+    terms = items.select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[0-9]+|[a-z]+"), 0)).alias("term"))
+    return evidence.hashed_embedding(terms, "item_id")
