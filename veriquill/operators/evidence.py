@@ -25,6 +25,29 @@ def locate_exact(texts: DataFrame, quotes: DataFrame, key: list[str]) -> DataFra
     return found
 
 
+def locate_pages(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """doc_id, item_id, page, last_page, guarded: where whole quotes stand, page breaks left out of account.
+
+    docs: doc_id, text with one page a line. A quote on one page has page = last_page; one that spans pages has the first and last of them.
+    guarded if these pages together have all the quote's numbers. Equal spans of a quote come once.
+    """
+    docs, quotes = docs.select("doc_id", "text"), quotes.select("item_id", "text").distinct()
+    wanted = quotes.select("item_id", F.col("text").alias("quote"))
+    held = locate_exact(docs, quotes, ["doc_id", "text"]).select("doc_id", "text", "item_id").distinct().join(wanted, "item_id")
+    rows = held.select("doc_id", "item_id", squash(F.col("quote")).alias("q"), F.array_distinct(numbers(F.col("quote"))).alias("need"), squash(F.col("text")).alias("s"), F.split("text", "\n").alias("pages"))
+    rows = rows.where(F.contains("s", "q")).withColumn("sizes", F.transform("pages", lambda p: F.length(squash(p))))
+    # q has letters and digits only; a split before each occurrence leaves pieces whose lengths add up to the places, overlapping ones too
+    pieces = F.transform(F.split("s", F.concat(F.lit("(?="), "q", F.lit(")"))), lambda p: F.length(p))
+    rows = rows.withColumn("pieces", pieces).select("*", F.posexplode("pieces").alias("k", "piece"))
+    start = F.aggregate(F.slice("pieces", F.lit(1), F.col("k")), F.lit(0), lambda a, x: a + x)
+    rows = rows.where((F.col("k") > 0) | F.startswith("s", "q")).withColumn("start", start)
+    ended = lambda at: F.aggregate("sizes", F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n")), lambda a, x: F.struct((a.upto + x).alias("upto"), (a.n + (a.upto + x <= at).cast("int")).alias("n")), lambda a: a.n)
+    rows = rows.withColumn("page", ended(F.col("start")) + 1).withColumn("last_page", ended(F.col("start") + F.length("q") - 1) + 1)
+    have = F.flatten(F.transform(F.slice("pages", F.col("page"), F.col("last_page") - F.col("page") + 1), numbers))
+    guarded = F.size(F.array_except("need", have)) == 0
+    return rows.select("doc_id", "item_id", F.col("page").cast("long").alias("page"), F.col("last_page").cast("long").alias("last_page"), guarded.alias("guarded")).distinct()
+
+
 def section_nodes(pages: DataFrame, fan: int = 4) -> DataFrame:
     """A tree of sections over pages: the document, runs of fan * fan pages and runs of fan pages, flattened in preorder."""
     last = pages.groupBy("doc_id").agg(F.max("page").alias("n"))

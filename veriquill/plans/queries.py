@@ -288,6 +288,18 @@ def quote_exact_page(spark, d):
     return evidence.locate_exact(S.pages(spark, d), quotes, ["doc_id", "page"]).select("doc_id", "page", "item_id")
 
 
+@query(
+    f"""WITH {PAGES}, q AS (SELECT DISTINCT item_id, {SQUASH.format('text')} AS q, {NUMBERS.format('text')} AS need FROM benchmark), d AS (SELECT doc_id, {SQUASH.format('text')} AS s FROM documents),
+    p AS (SELECT doc_id, page, {NUMBERS.format('text')} AS have, sum(length({SQUASH.format('text')})) OVER (PARTITION BY doc_id ORDER BY page) AS hi FROM pg),
+    h AS (SELECT doc_id, item_id, s, q, need, unnest(range(1, length(s) - length(q) + 2)) AS i FROM d JOIN q ON contains(s, q) WHERE length(q) >= 4),
+    o AS (SELECT doc_id, item_id, need, i, i + length(q) - 1 AS upto FROM h WHERE substr(s, i, length(q)) = q),
+    b AS (SELECT o.doc_id, item_id, need, i, min(page) FILTER (WHERE hi >= i) AS page, min(page) FILTER (WHERE hi >= upto) AS last_page FROM o JOIN p USING (doc_id) GROUP BY o.doc_id, item_id, need, i)
+    SELECT DISTINCT b.doc_id, item_id, b.page, last_page, (SELECT len(list_filter(need, lambda x: NOT list_contains(flatten(list(have)), x))) = 0 FROM p WHERE p.doc_id = b.doc_id AND p.page BETWEEN b.page AND b.last_page) AS guarded FROM b"""
+)
+def quote_whole_page(spark, d):
+    return evidence.locate_pages(S.read(spark, d, "documents"), S.read(spark, d, "benchmark"))
+
+
 NODES = """n AS (SELECT doc_id, max(page) AS n FROM pg GROUP BY doc_id), node AS (SELECT doc_id, 'n-0-1' AS node_id, 0 AS depth, 1 AS lo, n AS hi FROM n
     UNION ALL SELECT doc_id, 'n-1-' || lo, 1, lo, least(n, lo + 15) FROM (SELECT doc_id, n, unnest(range(1, n + 1, 16)) AS lo FROM n) UNION ALL SELECT doc_id, 'n-2-' || lo, 2, lo, least(n, lo + 3) FROM (SELECT doc_id, n, unnest(range(1, n + 1, 4)) AS lo FROM n))"""
 
