@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .spark_io import materialize
-from .words_sql import NOT_ALNUM, NOT_ALNUM_CASED, lower_ascii, with_key, words
+from .words_sql import NOT_ALNUM, NOT_ALNUM_CASED, lower_ascii, with_key, without_rows, words
 
 WINDOW = 10
 #: About 100 bytes each.
@@ -41,8 +41,8 @@ def prefixes(windows: DataFrame, docs: DataFrame) -> DataFrame:
     return best.where("p.n > 0").select("window", "p.at", "p.word")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs (doc_id, text)."""
+def _contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The columns of contamination(), and th."""
     docs = with_key(docs)
     windows = materialize(item_windows(benchmark))
     prefix = materialize(prefixes(windows, docs))
@@ -70,11 +70,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     names = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+        "doc_id", "th", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
     )
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs (doc_id, text)."""
+    return _contamination(docs, benchmark).drop("th")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no window of the benchmark, all columns kept."""
-    dirty = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("dirty_id")).distinct()
-    return docs.join(dirty, F.col("doc_id").cast("long").eqNullSafe(F.col("dirty_id")), "left_anti")
+    return without_rows(docs, _contamination(docs, benchmark).where("contaminated"))

@@ -11,7 +11,8 @@
 6. Components are found by alternating star contraction, in tables in the shared folder.
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and are kept. Repeated rows come out once each, with
-equal results. An id stands for one text. Rows without an id link like others; a component's id is its smallest non-null id, null if it has none.
+equal results. A row is its id and text (row, a 64-bit hash of both): texts of one id, or without one, link each for itself. A class's key is
+the smallest of its rows, so it does not need an id. A component's id is its smallest non-null id, null if it has none.
 """
 
 from __future__ import annotations
@@ -54,8 +55,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = [s[:K].view(np.int64) for s in sets]
             offsets = np.concatenate(([0], np.cumsum([len(k) for k in kept]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64)))],
-                ["doc_id", "n_shingles", "sig_a", "sig_b", "sketch"],
+                [part.column("doc_id").cast(pa.int64()), part.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64)))],
+                ["doc_id", "row", "n_shingles", "sig_a", "sig_b", "sketch"],
             )
 
 
@@ -64,7 +65,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             sets = [s.view(np.int64) for s in shingle_sets(part.column("text"))]
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("class_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], ["id", "full"])
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], ["id", "full"])
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -94,14 +95,19 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("comp"))).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = materialize(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, sig_a long, sig_b long, sketch array<long>"))
+def with_row(docs: DataFrame) -> DataFrame:
+    """docs and row, a hash of id and text."""
+    return docs.withColumn("row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, row, n_shingles, group (key of the component, null for rows without words) and component_id of each row of docs."""
+    docs = with_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    base = materialize(docs.mapInArrow(_sketches, "doc_id long, row long, n_shingles long, sig_a long, sig_b long, sketch array<long>"))
     key = ["sig_a", "sig_b", "n_shingles"]
-    classes = base.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id"))
+    classes = base.where("n_shingles > 0").groupBy(*key).agg(F.min("row").alias("class_id"), F.min("doc_id").alias("low"))
     member = materialize(
-        base.join(classes, key, "left").select("doc_id", "n_shingles", "class_id", F.when(F.col("doc_id") == F.col("class_id"), F.col("sketch")).alias("sketch"))
+        base.join(classes, key, "left").select("doc_id", "row", "n_shingles", "class_id", "low", F.when(F.col("row") == F.col("class_id"), F.col("sketch")).alias("sketch"))
     )
     reps = member.where("sketch is not null").dropDuplicates(["class_id"]).select(F.col("class_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
     sets = materialize(_full_sets(docs, _indexed(reps, K, RHO).select("id")))
@@ -114,10 +120,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not rest.isEmpty():
         links = links.union(_confirmed(rest, indexed, sets))
         comp = components(links)
-    out = member.join(comp.withColumnRenamed("id", "class_id"), "class_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("comp", "class_id", "doc_id").alias("component_id")
+    lows = member.where("sketch is not null").select(F.col("class_id").alias("id"), "low").join(comp, "id").groupBy("comp").agg(F.min("low").alias("comp_low"))
+    comp = comp.join(lows, "comp").withColumnRenamed("id", "class_id")
+    return member.join(comp, "class_id", "left").select(
+        "doc_id",
+        "row",
+        "n_shingles",
+        F.coalesce("comp", "class_id").alias("group"),
+        F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("comp_low", "low")).alias("component_id"),
     )
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
+    return _rows(docs).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _indexed(reps: DataFrame, k: int, rho: float) -> DataFrame:
@@ -134,10 +150,10 @@ def _indexed(reps: DataFrame, k: int, rho: float) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    ids = materialize(ids.withColumnRenamed("id", "doc_id"))
+    ids = materialize(ids.withColumnRenamed("id", "row"))
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    texts = docs.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("class_id"), "text")
+    texts = docs.join(ids, "row", "left_semi").select("row", "text")
     return texts.mapInArrow(_sets, "id long, full array<long>").dropDuplicates(["id"])
 
 
@@ -187,6 +203,14 @@ def _confirmed(pairs: DataFrame, indexed: DataFrame, sets: DataFrame) -> DataFra
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are the first of their component, all columns kept; of repeated rows of one id, all."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    """The rows of docs that are the first of their component, all columns kept; of repeated rows of one id, all.
+
+    A component without any id keeps the row that its key names, once: rows without an id that have its text cannot be told from copies.
+    """
+    found = materialize(_rows(docs))
+    first = F.when(F.col("component_id").isNotNull(), F.col("doc_id").eqNullSafe(F.col("component_id"))).otherwise(F.col("group").isNull() | (F.col("row") == F.col("group")))
+    gone = materialize(found.where(~first).select("row").distinct())
+    left = with_row(docs).join(gone, "row", "left_anti")
+    words = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    one = left.where(F.col("doc_id").isNull() & words).groupBy("row").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return left.where(F.col("doc_id").isNotNull() | ~words).select(*docs.columns).unionByName(one)

@@ -29,12 +29,13 @@ TERMS = 400
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and the counts of each row of docs (doc_id, text, lang)."""
+    """doc_id, th (a hash of the text), lang and the counts of each row of docs (doc_id, text, lang)."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", text.alias("text"), words(F.col("text"), BLANKS).alias("w"), lines.alias("lines"))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "lang", text.alias("text"), words(F.col("text"), BLANKS).alias("w"), lines.alias("lines"))
     return out.select(
         "doc_id",
+        "th",
         "lang",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", BLANKS, "")).cast("long").alias("word_chars"),
@@ -109,8 +110,8 @@ def cutoffs(scored: DataFrame, labels: DataFrame) -> DataFrame:
     return fails.groupBy(F.col("lang").alias("stratum")).agg(*[F.max(F.when(F.col("rule") == r, F.when(F.coalesce("stop", F.lit(1)) > 0, last))).alias(f"max_{r}") for r in RULES])
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept of each row of docs (doc_id, text, lang)."""
+def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The columns of judge(), and th and lang."""
     scored = materialize(features(docs))
     scored = scored.select("*", *[F.expr(e).cast("double").alias(r) for r, e in RULES.items()])
     chosen = cutoffs(scored, labels)
@@ -118,10 +119,16 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     for r in RULES:
         beyond = beyond | F.coalesce(F.col(r) > F.col(f"max_{r}"), F.lit(False))
     out = scored.join(chosen, F.col("lang").eqNullSafe(F.col("stratum")), "left").withColumn("base_failed", base_failed())
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~beyond).alias("kept"))
+    return out.select("doc_id", "th", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~beyond).alias("kept"))
+
+
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept of each row of docs (doc_id, text, lang)."""
+    return _judged(docs, labels).drop("th", "lang")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that pass, all columns kept."""
-    bad = judge(docs, labels).where("not kept").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")), "left_anti")
+    """The rows of docs that pass, all columns kept. A row is its id, text and language: others of its id, or without one, stand for themselves."""
+    bad = _judged(docs, labels).where("not kept").select(F.col("doc_id").alias("bad_id"), F.col("th").alias("bad_th"), F.col("lang").alias("bad_lang")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_th")) & F.col("lang").eqNullSafe(F.col("bad_lang"))
+    return docs.join(bad, same, "left_anti")
