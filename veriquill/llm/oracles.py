@@ -41,16 +41,29 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
     sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(CASE WHEN role = 'assistant' THEN upto WHEN place > last THEN size ELSE 0 END) AS BIGINT) AS formatted_chars FROM s GROUP BY conv_id"""
 
 _L = line_templates
+#: Rounds of growing templates that the SQL has; the operator goes on until no line is left.
+_ROUNDS = 8
+
+
+def _round(r: int) -> str:
+    return f"""p{r} AS MATERIALIZED (SELECT node, own, unnest(tokens[{_L.DEPTH + 1}:]) AS token, unnest(range({_L.DEPTH + 1}, len(tokens) + 1)) AS place FROM m{r}),
+c{r} AS MATERIALIZED (SELECT node, place, token AS common, kinds FROM (SELECT node, place, token, row_number() OVER (PARTITION BY node, place ORDER BY count(*) DESC, token DESC) AS r, count(*) OVER (PARTITION BY node, place) AS kinds FROM p{r} GROUP BY node, place, token) WHERE r = 1),
+s{r} AS MATERIALIZED (SELECT node, arg_min(place, kinds * 1000000 + place) FILTER (WHERE kinds > 1) AS split FROM c{r} GROUP BY node),
+a{r} AS MATERIALIZED (SELECT p.node, own, count(*) FILTER (WHERE token = common) * 100 >= count(*) * {_L.SIMILAR} AS fits FROM p{r} p JOIN c{r} c ON p.node = c.node AND p.place = c.place GROUP BY p.node, own),
+l{r} AS MATERIALIZED (SELECT m.node || chr(10) || split || ' ' || tokens[split] AS node, m.own, tokens FROM m{r} m JOIN a{r} a ON m.node = a.node AND m.own = a.own JOIN s{r} s ON m.node = s.node WHERE NOT fits),
+m{r + 1} AS MATERIALIZED (SELECT * FROM l{r} WHERE node IN (SELECT node FROM l{r} GROUP BY node HAVING count(*) > 1)),
+"""
+
+
 OP3 = rf"""WITH l AS (SELECT doc_id, pos, line, {BLANK_WORDS.format(r"regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g')")} AS tokens
     FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents)),
-k AS (SELECT doc_id, pos, tokens, array_to_string(tokens, ' ') AS own, len(tokens) || ' ' || array_to_string(tokens[1:{_L.DEPTH}], ' ') AS leaf FROM l WHERE len(tokens) >= {_L.MIN_TOKENS}),
-m AS (SELECT DISTINCT leaf, own, tokens FROM k WHERE leaf IN (SELECT leaf FROM k GROUP BY leaf HAVING count(DISTINCT own) > 1)),
-p AS (SELECT leaf, own, unnest(tokens) AS token, unnest(range(0, len(tokens))) AS place FROM m),
-c AS (SELECT leaf, place, token FROM (SELECT leaf, place, token, row_number() OVER (PARTITION BY leaf, place ORDER BY count(*) DESC, token DESC) AS r FROM p GROUP BY leaf, place, token) WHERE r = 1),
-a AS (SELECT p.leaf, own FROM p JOIN c ON p.leaf = c.leaf AND p.place = c.place GROUP BY p.leaf, own HAVING count(*) FILTER (WHERE p.token = c.token) >= count(*) * {_L.SIMILAR}::DOUBLE),
-t AS (SELECT doc_id, pos, CASE WHEN a.own IS NULL THEN 'own ' || k.own ELSE 'leaf ' || k.leaf END AS template FROM k LEFT JOIN a ON k.own = a.own),
-h AS (SELECT template, min(doc_id) AS first FROM t GROUP BY template HAVING count(DISTINCT doc_id) >= {_L.MIN_DOCS}),
-gone AS (SELECT doc_id, pos FROM t JOIN h USING (template) WHERE doc_id <> first),
+k AS MATERIALIZED (SELECT doc_id, pos, tokens, array_to_string(tokens, ' ') AS own, len(tokens) || ' ' || array_to_string(tokens[1:{_L.DEPTH}], ' ') AS leaf FROM l WHERE len(tokens) > 0),
+m0 AS MATERIALIZED (SELECT DISTINCT leaf AS node, own, tokens FROM k WHERE leaf IN (SELECT leaf FROM k GROUP BY leaf HAVING count(DISTINCT own) > 1)),
+{"".join(map(_round, range(_ROUNDS)))}g AS ({" UNION ALL ".join(f"SELECT node, own FROM a{r} WHERE fits" for r in range(_ROUNDS))}),
+t AS (SELECT doc_id, pos, CASE WHEN g.own IS NULL THEN 'own ' || k.own ELSE 'node ' || g.node END AS template, CASE WHEN g.own IS NULL AND len(tokens) >= {_L.LONG_TOKENS} THEN {_L.LONG_DOCS} ELSE {_L.MIN_DOCS} END AS least FROM k LEFT JOIN g ON k.own = g.own
+    UNION ALL SELECT doc_id, pos, 'own ' || own, {_L.LONG_DOCS} FROM k WHERE len(tokens) >= {_L.LONG_TOKENS} AND own IN (SELECT own FROM g)),
+h AS (SELECT template, min(doc_id) AS first FROM t GROUP BY template, least HAVING count(DISTINCT doc_id) >= least),
+gone AS (SELECT DISTINCT doc_id, pos FROM t JOIN h USING (template) WHERE doc_id <> first),
 n AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.pos) AS n_dropped, string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE gone.pos IS NULL) AS kept FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos GROUP BY l.doc_id)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN n USING (doc_id)"""
 

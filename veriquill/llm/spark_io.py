@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir. Unset, it becomes a local folder in local mode (tests) and is an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="veriquill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/veriquill-{uuid.uuid4().hex}"
@@ -21,15 +23,20 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back, so that later jobs neither recompute it nor depend on one executor."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
 
 
 def drop_table(df: DataFrame) -> None:
-    """Remove the files of a table that materialize() wrote and that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    """Remove a table that materialize() wrote and that nothing reads any more."""
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.shared_path)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def spare_name(df: DataFrame) -> str:
+    """A column name that df does not have."""
+    return f"c_{uuid.uuid4().hex}"
 
 
 def partitions(df: DataFrame) -> int:
