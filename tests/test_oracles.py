@@ -34,4 +34,5 @@ def test_oracle(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).columns
+    """Queries without SQL give rows; what is in them is held against plain Python in tests of their own."""
+    assert QUERIES[name](spark, SF).count() > 0

@@ -6,22 +6,36 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import STOP_WORDS, claim_tokens, numbers, squash
 
-#: Quotes are a query set: they are broadcast up to this number, and held against all documents in blocks of it beyond.
-QUOTE_BLOCK = 20_000
+#: Quotes are a query set: their k-grams and the short ones are broadcast up to these numbers, joined by a shuffle (short ones: in blocks) beyond.
+QUOTE_GRAMS, QUOTE_BLOCK = 2_000_000, 20_000
 MIN_QUOTE = 4
+#: Characters of a block. A quote of 2 * BLOCK - 1 characters or more holds a whole block of each text that contains it.
+BLOCK = 12
 
 
 def locate_exact(texts: DataFrame, quotes: DataFrame, key: list[str]) -> DataFrame:
-    """key, item_id, guarded: texts that contain a quote after squashing; guarded if they also have all the quote's numbers."""
-    found = None
-    total = quotes.count()
+    """key, item_id, guarded: texts that contain a quote after squashing; guarded if they also have all the quote's numbers.
+
+    Squashed texts are cut into blocks; blocks meet the equal k-grams of the quotes, and only texts that share one are searched. Quotes that
+    are too short for this are held against all texts. Texts are told apart by key and a hash; a null key is a key. Repeated texts come once
+    each time they occur, repeated quotes too.
+    """
     wanted = quotes.select("item_id", squash(F.col("text")).alias("q"), F.array_distinct(numbers(F.col("text"))).alias("need")).where(F.length("q") >= MIN_QUOTE)
     have = texts.select(*key, squash(F.col("text")).alias("s"), numbers(F.col("text")).alias("have"))
-    blocks = max(1, -(-total // QUOTE_BLOCK))
-    for k in range(blocks):
-        part = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        hits = have.join(F.broadcast(part), F.contains(have.s, part.q)).select(*key, "item_id", (F.size(F.array_except("need", "have")) == 0).alias("guarded"))
-        found = hits if found is None else found.unionByName(hits)
+    guarded = (F.size(F.array_except("need", "have")) == 0).alias("guarded")
+    long = wanted.where(F.length("q") >= 2 * BLOCK - 1)
+    grams = long.select(F.xxhash64("q").alias("qh"), F.explode(F.transform(F.sequence(F.lit(1), F.length("q") - BLOCK + 1), lambda i: F.substr("q", i, F.lit(BLOCK)))).alias("gram")).distinct()
+    grams = F.broadcast(grams) if grams.count() <= QUOTE_GRAMS else grams
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.length("s") / BLOCK) - 1, F.lit(0)).cast("int")), lambda i: F.substr("s", i * BLOCK + 1, F.lit(BLOCK)))
+    cut = have.where(F.length("s") >= BLOCK).select(F.xxhash64(*key, "s").alias("row"), F.explode(F.array_distinct(blocks)).alias("gram"))
+    pairs = cut.join(grams, "gram").select("row", "qh").distinct()
+    found = have.withColumn("row", F.xxhash64(*key, "s")).join(pairs, "row").join(long.withColumn("qh", F.xxhash64("q")), "qh").where(F.contains("s", "q")).select(*key, "item_id", guarded)
+    short = wanted.where(F.length("q") < 2 * BLOCK - 1)
+    n = short.count()
+    turns = max(1, -(-n // QUOTE_BLOCK)) if n else 0
+    for k in range(turns):
+        part = short if turns == 1 else short.where(F.pmod(F.xxhash64("item_id"), F.lit(turns)) == k)
+        found = found.unionByName(have.join(F.broadcast(part), F.contains(have.s, part.q)).select(*key, "item_id", guarded))
     return found
 
 
@@ -104,8 +118,13 @@ def densest_window(texts: DataFrame, quotes: DataFrame, accept: float = 0.55) ->
     quoted = quoted.where(~F.col("tok").isin(STOP_WORDS) & (F.length("tok") > 1))
     quoted = quoted.withColumn("w", F.least(F.length("tok"), F.lit(8)) + F.when(F.col("tok").rlike("[0-9]"), 3).otherwise(0))
     total = quoted.groupBy("item_id").agg(F.sum("w").alias("total"))
-    places = texts.select("doc_id", F.posexplode(claim_tokens(F.col("text"))).alias("pos", "tok"))
-    hits = places.join(few(quoted), "tok").select("doc_id", "item_id", "pos", "tok", "w", "win")
+    # a frame's score is at most the weight of all the quote's tokens that the text has: only texts that can reach `accept` are walked
+    held = texts.select("doc_id", F.explode(F.array_distinct(claim_tokens(F.col("text")))).alias("tok")).distinct()
+    most = held.join(few(quoted.select("item_id", "tok", "w")), "tok").groupBy("doc_id", "item_id").agg(F.sum("w").alias("most"))
+    able = most.join(few(total), "item_id").where(F.col("most") >= F.col("total") * (accept - 1e-6)).select("doc_id", "item_id")
+    words = able.join(few(quoted), "item_id")
+    places = texts.join(able.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode(claim_tokens(F.col("text"))).alias("pos", "tok"))
+    hits = places.join(words, ["doc_id", "tok"]).select("doc_id", "item_id", "pos", "tok", "w", "win")
     # a token counts in a frame if it is its last occurrence there: those from pos up to its next occurrence or the frame's end
     order = Window.partitionBy("doc_id", "item_id", "tok").orderBy("pos")
     ends = hits.select("*", F.least(F.lead("pos").over(order), F.col("pos") + F.col("win")).alias("upto"))

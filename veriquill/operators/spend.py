@@ -69,7 +69,7 @@ def snapshot(costs: DataFrame, events: DataFrame) -> DataFrame:
 def budget(snapshot: DataFrame, limit: float = 50.0) -> DataFrame:
     """user_id, spent_usd, used: what a snapshot comes to, and its share of the budget, 0 to 1."""
     spent = F.col("answer_cost_usd") + F.col("unpriced_answers") * UNPRICED + F.col("unpriced_failed") * FAILED + F.col("index_keys") * INDEX + F.col("evaluations") * SCORE
-    return snapshot.select("user_id", F.round(spent, 4).alias("spent_usd"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), spent / limit)), 3).alias("used"))
+    return snapshot.select("user_id", F.round(spent, 3).alias("spent_usd"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), spent / limit)), 3).alias("used"))
 
 
 def longest_prefix(usage: DataFrame, prices: DataFrame) -> DataFrame:

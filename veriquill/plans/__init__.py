@@ -1,3 +1,3 @@
 
 
-from . import queries, records  # noqa: E402, F401
+from . import queries, records, located, kept  # noqa: E402, F401, I001

@@ -2,32 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chats, evidence, scoring, spend
 from ..sources import tables as S
 from ..streaming import limits
+from .registry import NUMBERS, ORACLES, PAGES, QUERIES, SQUASH, query  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-PAGES = "pg AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS page, unnest(string_split(text, chr(10))) AS text FROM documents)"
-SQUASH = "regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
-NUMBERS = "list_transform(regexp_extract_all({0}, '[0-9]+(?:[.,][0-9]+)*'), lambda x: replace(x, ',', ''))"
 STATE = "SELECT conv_id, CASE conv_id % 5 WHEN 1 THEN 'failed' WHEN 2 THEN 'indexing' ELSE 'ready' END AS status FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 5 <> 0"
 
 
@@ -109,10 +91,10 @@ def answer_stats(spark, d):
     return evidence.answer_stats(evidence.citations(S.messages(spark, d)))
 
 
-@query(f"WITH {CITES} SELECT conv_id, idx, page FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS r WHERE r.conv_id = c.conv_id AND r.page = c.page AND r.verified)")
+@query(f"WITH {CITES} SELECT conv_id, idx, page FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS r WHERE r.conv_id = c.conv_id AND r.page = c.page AND r.read)")
 def answer_unread(spark, d):
     c = evidence.citations(S.messages(spark, d))
-    return c.join(c.where("verified").select("conv_id", "page").distinct(), ["conv_id", "page"], "left_anti").select("conv_id", "idx", "page")
+    return c.join(c.where("read").select("conv_id", "page").distinct(), ["conv_id", "page"], "left_anti").select("conv_id", "idx", "page")
 
 
 @query(f"WITH {CITES} SELECT conv_id, page, min(idx) AS first_read FROM c GROUP BY conv_id, page")
@@ -208,7 +190,7 @@ def usage_snapshot(spark, d):
 )
 def budget_fraction(spark, d):
     events, _, costs = _costs(spark, d)
-    return spend.budget(spend.snapshot(costs, events)).withColumn("spent_usd", F.round("spent_usd", 3))
+    return spend.budget(spend.snapshot(costs, events))
 
 
 @query(f"WITH {COSTS} SELECT model, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(cost_usd), 4) AS usd, bool_and(cost_usd IS NOT NULL) AS usd_complete FROM cost GROUP BY model")
@@ -232,6 +214,12 @@ def rate_limiter(spark, d):
     return limits.sliding_limiter(S.read(spark, d, "events"))
 
 
+@query()
+def limiter_operations(spark, d):
+    """Views are single hits, clicks hits of two, purchases refunds, errors recorded in any case, other events questions."""
+    return limits.limited(S.limiter_operations(spark, d))
+
+
 @query("SELECT event_id, round(least(0.95::DOUBLE, max(value / 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 6) AS progress FROM events")
 def progress_high_water(spark, d):
     return limits.high_water(S.read(spark, d, "events"))
@@ -280,12 +268,11 @@ def quote_exact_doc(spark, d):
 
 
 @query(
-    f"""WITH {PAGES}, q AS (SELECT item_id, {SQUASH.format("array_to_string(string_split(text, ' ')[1:8], ' ')")} AS q, {NUMBERS.format('text')} AS need FROM benchmark), s AS (SELECT doc_id, page, {SQUASH.format('text')} AS s, {NUMBERS.format('text')} AS have FROM pg)
-    SELECT doc_id, page, item_id FROM s JOIN q ON contains(s, q) WHERE length(q) >= 4"""
+    f"""WITH {PAGES}, q AS (SELECT item_id, {SQUASH.format('text')} AS q, {NUMBERS.format('text')} AS need FROM benchmark), s AS (SELECT doc_id, page, {SQUASH.format('text')} AS s, {NUMBERS.format('text')} AS have FROM pg)
+    SELECT doc_id, page, item_id, len(list_filter(need, lambda x: NOT list_contains(have, x))) = 0 AS guarded FROM s JOIN q ON contains(s, q) WHERE length(q) >= 4"""
 )
 def quote_exact_page(spark, d):
-    quotes = S.read(spark, d, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("text"))
-    return evidence.locate_exact(S.pages(spark, d), quotes, ["doc_id", "page"]).select("doc_id", "page", "item_id")
+    return evidence.locate_exact(S.pages(spark, d), S.read(spark, d, "benchmark"), ["doc_id", "page"])
 
 
 @query(
@@ -333,12 +320,26 @@ def quote_tokens(spark, d):
     return t.where("x <> ''").groupBy("item_id").agg(F.count("*").alias("n"), F.count_distinct("x").alias("distinct_tokens"))
 
 
-@query()
+_TOKENS = "list_transform(regexp_extract_all(lower(text), '[0-9]+(?:[.,][0-9]+)*|\\p{L}+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN replace(x, ',', '') ELSE x END)"
+_QUIET = "(" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")"
+
+
+@query(
+    f"""WITH q AS (SELECT item_id, {_TOKENS} AS t FROM benchmark), w AS (SELECT DISTINCT item_id, greatest(8, floor(len(t) * 1.5))::INT AS win, tok, least(length(tok), 8) + CASE WHEN regexp_matches(tok, '[0-9]') THEN 3 ELSE 0 END AS w FROM (SELECT item_id, t, unnest(t) AS tok FROM q) WHERE length(tok) > 1 AND tok NOT IN {_QUIET}),
+    s AS (SELECT item_id, sum(w) AS total FROM w GROUP BY item_id), d AS (SELECT doc_id, unnest({_TOKENS}) AS tok, unnest(range(0, len({_TOKENS}))) AS pos FROM documents),
+    h AS MATERIALIZED (SELECT doc_id, item_id, pos, tok, w, win FROM d JOIN w USING (tok)),
+    f AS (SELECT doc_id, item_id, frame, sum(w) AS score FROM (SELECT DISTINCT a.doc_id, a.item_id, a.pos AS frame, b.tok, b.w FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.pos <= a.pos AND b.pos > a.pos - a.win) GROUP BY ALL),
+    b AS (SELECT doc_id, item_id, max(score) AS score, arg_min(frame, (-score, frame)) AS pos FROM f GROUP BY ALL)
+    SELECT item_id, doc_id, pos, round(score::DOUBLE / total, 6) AS share FROM b JOIN s USING (item_id) WHERE round(score::DOUBLE / total, 6) >= 0.55::DOUBLE"""
+)
 def block_window(spark, d):
     return evidence.densest_window(S.read(spark, d, "documents").select("doc_id", "text"), S.read(spark, d, "benchmark"))
 
 
-@query()
+@query(
+    f"""WITH {PAGES}, v AS (SELECT DISTINCT doc_id, page, unnest(regexp_extract_all(regexp_replace(text, '([^0-9.,])', '\\1\\1', 'g'), '(?:^|[^0-9.,])([1-9][0-9]{{0,3}})(?:[^0-9.,]|$)', 1)) AS v FROM pg),
+    s AS (SELECT doc_id, v::BIGINT - page AS shift, count(DISTINCT page) AS support FROM v GROUP BY ALL) SELECT doc_id, arg_min(shift, (-support, shift)) AS shift, max(support) AS support FROM s GROUP BY doc_id"""
+)
 def folio_vote(spark, d):
     return evidence.folio_votes(S.pages(spark, d))
 

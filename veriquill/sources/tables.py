@@ -15,11 +15,56 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", (F.col("at") + 1).cast("long").alias("page"), "text")
 
 
+def cites(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, cite_id, page, quote, claim: one citation of each document. The quote's words come from one of its pages as they are, with a
+    word left out, as two fragments or in reverse; the page may be one off; the claim is the page's first words."""
+    docs = read(spark, folder, "documents").where("text is not null").select("doc_id", F.split("text", "\n").alias("lines"))
+    page = (F.pmod(F.col("doc_id"), F.size("lines")) + 1).cast("int")
+    docs = docs.select("doc_id", page.alias("p"), F.split(F.get("lines", page - 1), " ").alias("w"))
+    part = lambda a, n: F.array_join(F.slice("w", a, n), " ")
+    kind = F.pmod("doc_id", F.lit(4))
+    quote = F.when(kind == 0, part(3, 12)).when(kind == 1, F.concat_ws(" ", part(3, 4), part(8, 13))).when(kind == 2, F.concat(part(2, 8), F.lit(" ... "), part(14, 8))).otherwise(F.array_join(F.reverse(F.slice("w", 1, 12)), " "))
+    shifted = F.col("p") + F.pmod(F.floor(F.col("doc_id") / 4), F.lit(3)) - 1
+    return docs.select("doc_id", F.lit(1).cast("long").alias("cite_id"), shifted.cast("long").alias("page"), quote.alias("quote"), part(1, 25).alias("claim"))
+
+
+def answers(spark: SparkSession, folder: str) -> DataFrame:
+    """answer_id, raw, most_pages: an answer about each document, made of its first page's words, with cites in one of six forms."""
+    docs = read(spark, folder, "documents").where("text is not null").select("doc_id", F.split("text", "\n").alias("lines"))
+    docs = docs.select("doc_id", F.size("lines").alias("most_pages"), F.split(F.get("lines", F.lit(0)), " ").alias("w"))
+    part = lambda a, n: F.array_join(F.slice("w", a, n), " ")
+    quote = part(2, 9)
+    tags = F.array(
+        F.concat(F.lit('<cite doc="d" page="1" quote="'), quote, F.lit('"/>')),
+        F.concat(F.lit("<cite quote=“"), quote, F.lit("” page='p. 1'>here</cite>")),
+        F.concat(F.lit('<cite page=1-2 quote="'), part(2, 4), F.lit(' ... '), part(8, 5), F.lit('" / >')),
+        F.concat(F.lit('<cite page="99999" quote="'), quote, F.lit('"/> and <cite page=1/>')),
+        F.concat(F.lit('<cite page="1" quote="'), quote, F.lit(' <cite page=2 quote="&quot;'), quote, F.lit('&quot;"/>')),
+        F.concat(F.lit('| a | **b** <cite page=1 /> | '), quote, F.lit(' |\n\n<cite page="none"/>')),
+    )
+    raw = F.concat(F.lit("Intro by J. Smith. "), part(1, 12), F.lit(" "), F.element_at(tags, (F.pmod("doc_id", F.lit(6)) + 1).cast("int")), F.lit("\n- "), part(3, 20), F.lit(" <cite page=1/>."))
+    return docs.select(F.col("doc_id").alias("answer_id"), raw.alias("raw"), "most_pages")
+
+
+def numbered_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """pages with printed numbers at their end: the first two in roman numerals, the others from 1; every fifth page has none."""
+    p = pages(spark, folder)
+    folio = F.when(F.col("page") % 5 == 4, "").when(F.col("page") == 1, "i").when(F.col("page") == 2, "ii").otherwise((F.col("page") - 2).cast("string"))
+    return p.select("doc_id", "page", F.concat_ws(" ", "text", F.lit("|"), folio).alias("text"))
+
+
 def messages(spark: SparkSession, folder: str) -> DataFrame:
     """conv_id, turn, role, text."""
     return read(spark, folder, "conversations")
 
 
+def limiter_operations(spark: SparkSession, folder: str) -> DataFrame:
+    """event_id, user_id, at, op, n from events."""
+    kind = F.col("event_type")
+    op = F.when(kind.isin("view", "click"), "hit").when(kind == "purchase", "refund").when(kind == "error", "record").otherwise("ask")
+    return read(spark, folder, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), op.alias("op"), F.when(kind == "click", 2).otherwise(1).alias("n"))
+
+
 def html_fields(pages: DataFrame) -> DataFrame:
     """page_id, title, heading, n_links of raw web pages."""
     return pages.select(

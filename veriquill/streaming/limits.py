@@ -6,6 +6,7 @@ from collections import deque
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def trailing_count(events: DataFrame, seconds: int = 3600) -> DataFrame:
@@ -15,28 +16,74 @@ def trailing_count(events: DataFrame, seconds: int = 3600) -> DataFrame:
     return events.select("event_id", "user_id", at.alias("at")).select("event_id", F.count("*").over(frame).alias("n"))
 
 
-def _limited(limit: int, seconds: int):
+class Allowance:
+    """At most `limit` events in a window of `seconds`; times are microseconds. A limit of 0 allows all."""
+
+    def __init__(self, limit: int, seconds: int, taken: list[int] | None = None):
+        self.limit, self.window, self.taken = limit, seconds * 1_000_000, deque(taken or ())
+
+    def _wait(self, since: int) -> int:
+        """Whole seconds, one at least."""
+        return max(1, -(-since // 1_000_000))
+
+    def use(self, op: str, at: int, n: int = 1) -> int:
+        """Seconds to wait, 0 if the operation is allowed or needs no leave.
+
+        hit: n events at once, all or none; ask: whether one would be allowed; record: one in any case; refund: the n latest go; reset: all go.
+        """
+        while self.taken and at - self.taken[0] >= self.window:
+            self.taken.popleft()
+        over = len(self.taken) + n - self.limit
+        if op in ("refund", "reset"):
+            for _ in range(min(n, len(self.taken)) if op == "refund" else len(self.taken)):
+                self.taken.pop()
+        elif op == "record" and self.limit > 0:
+            self.taken.append(at)
+        elif op == "ask" and self.limit > 0 and len(self.taken) >= self.limit:
+            return self._wait(self.taken[0] + self.window - at)
+        elif op == "hit" and self.limit > 0 and n > 0:
+            if over > 0:
+                return self._wait(self.window if n > self.limit else self.taken[over - 1] + self.window - at)
+            self.taken.extend([at] * n)
+        return 0
+
+
+def _used(limit: int, seconds: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "event_id"])
-        taken: deque = deque()
-        allowed, wait = [], []
-        for at in rows["at"]:
-            while taken and at - taken[0] >= seconds * 1_000_000:
-                taken.popleft()
-            free = len(taken) < limit
-            if free:
-                taken.append(at)
-            allowed.append(free)
-            wait.append(0 if free else max(1, -(-(taken[0] + seconds * 1_000_000 - at) // 1_000_000)))
-        return pd.DataFrame({"event_id": rows["event_id"], "allowed": allowed, "retry_after": wait})
+        rows, state = rows.sort_values(["at", "event_id"]), Allowance(limit, seconds)
+        waits = [state.use(op, at, n) for op, at, n in rows[["op", "at", "n"]].itertuples(index=False)]
+        return pd.DataFrame({"event_id": rows["event_id"], "allowed": [w == 0 for w in waits], "retry_after": waits})
 
     return run
 
 
+def limited(ops: DataFrame, limit: int = 3, seconds: int = 86_400) -> DataFrame:
+    """event_id, allowed, retry_after for operations (event_id, user_id, at in microseconds, op, n) as Allowance.use() takes them.
+
+    After a pause of a whole window nothing that came before counts, so the operations between two pauses are folded for themselves.
+    """
+    order = Window.partitionBy("user_id").orderBy("at", "event_id")
+    rows = ops.select("event_id", "user_id", "at", "op", "n", (F.col("at") - F.lag("at").over(order) >= seconds * 1_000_000).cast("int").alias("cut"))
+    rows = rows.withColumn("part", F.sum(F.coalesce("cut", F.lit(0))).over(order)).drop("cut")
+    return rows.groupBy("user_id", "part").applyInPandas(_used(limit, seconds), "event_id long, allowed boolean, retry_after long")
+
+
 def sliding_limiter(events: DataFrame, limit: int = 3, seconds: int = 86_400) -> DataFrame:
     """event_id, allowed, retry_after: at most `limit` events of a user in the window; refused events are not counted."""
-    rows = events.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    return rows.groupBy("user_id").applyInPandas(_limited(limit, seconds), "event_id long, allowed boolean, retry_after long")
+    return limited(events.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.lit("hit").alias("op"), F.lit(1).alias("n")), limit, seconds)
+
+
+def limit_stream(ops: DataFrame, limit: int = 3, seconds: int = 86_400) -> DataFrame:
+    """limited() over a stream of operations; those of a user come in order of time from batch to batch."""
+
+    def run(key: tuple, batches, state: GroupState):
+        rows = pd.concat(batches).sort_values(["at", "event_id"])
+        allowance = Allowance(limit, seconds, list(state.get[0]) if state.exists else None)
+        waits = [allowance.use(op, at, n) for op, at, n in rows[["op", "at", "n"]].itertuples(index=False)]
+        state.update((list(allowance.taken),))
+        yield pd.DataFrame({"event_id": rows["event_id"], "allowed": [w == 0 for w in waits], "retry_after": waits})
+
+    return ops.groupBy("user_id").applyInPandasWithState(run, "event_id long, allowed boolean, retry_after long", "taken array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def high_water(events: DataFrame) -> DataFrame:
