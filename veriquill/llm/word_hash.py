@@ -1,10 +1,13 @@
 """Vectorised word and window hashes of many texts at once (numpy, inside Arrow tasks).
 
-A word's hash is a random-table polynomial over its UTF-8 bytes, taken from prefix sums, so no Python code runs for each word.
+A word's hash is the sum of random table entries, one for each of its bytes and the byte's place in the word, so no Python code runs for each
+word. Beyond PLACES bytes the entries are mixed with how often the table has been gone through. Equal hashes are not proof of equal words:
+callers that need this compare the words.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +19,7 @@ SPACES = bytes([0x20, *range(0x09, 0x0E)])
 BLOCK = 1 << 20  # bytes hashed at once
 SLICE = 8 << 20  # bytes of text in one table slice
 
-_MULT = np.uint64(0x9E3779B97F4A7C55)
-
-
-def _inverse(x: int) -> int:
-    return pow(x, -1, 1 << 64)
+PLACES = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,16 +29,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _byte_values(fold_ascii: bool) -> np.ndarray:
-    values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_IS_SPACE = np.zeros(256, dtype=bool)
+_IS_SPACE[list(SPACES)] = True
+
+
+def _table(fold_ascii: bool, seed: int) -> np.ndarray:
+    """An entry for each place and byte; separators have 0."""
+    first = 1 + seed * PLACES * 256
+    table = mix(np.arange(first, first + PLACES * 256, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)).reshape(PLACES, 256)
     if fold_ascii:
-        values[65:91] = values[97:123]
-    return values
+        table[:, 65:91] = table[:, 97:123]
+    table[:, _IS_SPACE] = 0
+    return table.reshape(-1)
 
 
-_VALUES = {fold: _byte_values(fold) for fold in (False, True)}
-_IS_SPACE = np.zeros(256, dtype=bool)
-_IS_SPACE[list(SPACES)] = True
+_TABLES = {(fold, seed): _table(fold, seed) for fold in (False, True) for seed in (0, 1)}
+
+
+def _word_hashes(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Hashes of the words that start at these places of raw, which begins with the first of them and ends with the last."""
+    place = np.arange(len(raw), dtype=np.int64) - np.repeat(starts, np.diff(starts, append=len(raw)))
+    entries = table[((place % PLACES) << 8) | raw]
+    if len(lengths) and lengths.max() > PLACES:
+        far = np.flatnonzero((place >= PLACES) & (entries != 0))
+        entries[far] = mix(entries[far] ^ mix((place[far] // PLACES).astype(np.uint64)))
+    return mix(np.add.reduceat(entries, starts) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C55))
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
@@ -56,7 +70,10 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[pa
 
 
 class Words:
-    """Words of a column of texts. hashes: a uint64 for each word; doc: the row of each word; offsets: first word of each row, and the number of words."""
+    """Words of a column of texts. hashes: a uint64 for each word; doc: the row of each word; offsets: first word of each row, and the number of words.
+
+    raw, starts, stops: the texts' bytes and where each word stands in them. second() gives an independent hash of each word.
+    """
 
     def __init__(self, texts: pa.Array, fold_ascii: bool):
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -67,24 +84,27 @@ class Words:
         inside = ~_IS_SPACE[raw]
         edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
         starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        self.hashes = np.empty(len(starts), np.uint64)
-        values, at = _VALUES[fold_ascii], 0
-        while at < len(starts):
-            upto = max(at + 1, int(np.searchsorted(starts, starts[at] + BLOCK)))
-            lo, hi = int(starts[at]), int(stops[upto - 1])
-            power = np.full(hi - lo, _MULT)
-            power[0] = 1
-            np.multiply.accumulate(power, out=power)
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values[raw[lo:hi]] * power)))
-            back = np.full(hi - lo, np.uint64(_inverse(int(_MULT))))
-            back[0] = 1
-            np.multiply.accumulate(back, out=back)
-            first = starts[at:upto] - lo
-            self.hashes[at:upto] = mix((sums[stops[at:upto] - lo] - sums[first]) * back[first])
-            at = upto
+        self.raw, self.starts, self.stops, self.fold_ascii = raw, starts, stops, fold_ascii
+        self.hashes = self._hashes(0)
         self.offsets = np.concatenate(([0], np.searchsorted(starts, ends))) if n else np.zeros(1, np.int64)
         self.doc = np.repeat(np.arange(n), np.diff(self.offsets))
 
+    def _hashes(self, seed: int) -> np.ndarray:
+        out, at = np.empty(len(self.starts), np.uint64), 0
+        while at < len(out):
+            upto = max(at + 1, int(np.searchsorted(self.starts, self.starts[at] + BLOCK)))
+            lo, hi = int(self.starts[at]), int(self.stops[upto - 1])
+            first = self.starts[at:upto]
+            out[at:upto] = _word_hashes(self.raw[lo:hi], first - lo, self.stops[at:upto] - first, _TABLES[self.fold_ascii, seed])
+            at = upto
+        return out
+
+    def second(self) -> Words:
+        """The same words under the second hash function."""
+        other = copy.copy(self)
+        other.hashes = self._hashes(1)
+        return other
+
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all windows of `size` words of one row, and the number of each window's first word."""
         n = len(self.hashes) - size + 1
