@@ -5,10 +5,12 @@ if it holds every shingle of it, so one shingle of each window suffices as its p
 words join the prefixes; the prefix's place in its window bounds where the window would have to start (position) and the document's number
 of words where it may (length); what is left is compared word by word.
 
-The prefixes are broadcast up to BROADCAST_WINDOWS, joined by a shuffle beyond it.
+Up to BROADCAST_WINDOWS windows, the prefixes are broadcast and windows compared where they are met. Beyond it, words and prefixes are joined
+by a shuffle that carries no text, and the documents of the matches are joined once more to be compared.
 
 Defined results: null and blank texts have no words, hits or windows. Each row comes out once, also repeated ones. Items without words
-match nothing; repeated items count once for each item_id.
+match nothing; repeated items count once for each item_id. Without documents there are no rows, without items no hits. Words of equal
+count are told apart by their place in the window.
 """
 
 from __future__ import annotations
@@ -41,18 +43,30 @@ def prefixes(windows: DataFrame, docs: DataFrame) -> DataFrame:
     return best.where("p.n > 0").select("window", "p.at", "p.word")
 
 
+def _found(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """doc_id, th, window, start: where windows stand."""
+    prefix = materialize(prefixes(windows, docs))
+    split = docs.select("doc_id", "th", words(lower_ascii(F.col("text")), NOT_ALNUM).alias("w"))
+    start = (F.col("pos") - F.col("at")).alias("start")
+    equal = F.slice("w", F.col("start") + 1, F.size("window")) == F.col("window")
+    if windows.count() <= BROADCAST_WINDOWS:
+        placed = split.select("doc_id", "th", "w", F.posexplode("w").alias("pos", "word")).join(F.broadcast(prefix), "word").select("doc_id", "th", "w", "window", start)
+        return placed.where((F.col("start") >= 0) & (F.col("start") + F.size("window") <= F.size("w"))).where(equal).select("doc_id", "th", "window", "start")
+    prefix = prefix.withColumn("id", F.xxhash64("window"))
+    ends = prefix.select("id", "at", "word", F.size("window").alias("n"))
+    placed = split.select("doc_id", "th", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "word")).join(ends, "word").select("doc_id", "th", "id", "n", "n_words", start)
+    placed = placed.where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("n_words"))).groupBy("doc_id", "th", "id").agg(F.collect_set("start").alias("starts"))
+    # documents with matches, each with its text once; equal rows have equal matches
+    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th"))
+    matched = split.dropDuplicates(["doc_id", "th"]).join(placed.withColumnsRenamed({"doc_id": "m_id", "th": "m_th"}), same).join(prefix.select("id", "window"), "id")
+    return matched.select("doc_id", "th", "w", "window", F.explode("starts").alias("start")).where(equal).select("doc_id", "th", "window", "start")
+
+
 def _contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The columns of contamination(), and th."""
     docs = with_key(docs)
     windows = materialize(item_windows(benchmark))
-    prefix = materialize(prefixes(windows, docs))
-    prefix = F.broadcast(prefix) if windows.count() <= BROADCAST_WINDOWS else prefix
-    split = docs.select("doc_id", "th", words(lower_ascii(F.col("text")), NOT_ALNUM).alias("w"))
-    placed = split.select("doc_id", "th", "w", F.posexplode("w").alias("pos", "word")).join(prefix, "word")
-    start = F.col("pos") - F.col("at")
-    fits = (start >= 0) & (start + F.size("window") <= F.size("w"))
-    found = placed.where(fits).where(F.slice("w", start + 1, F.size("window")) == F.col("window")).select("doc_id", "th", "window", start.alias("start"))
-    found = materialize(found)
+    found = materialize(_found(docs, windows))
     spans = found.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.size("window")).alias("stop")))).alias("spans"))
     # words in the union of the spans: each span adds what lies beyond all before it
     hit = F.aggregate(
@@ -61,7 +75,10 @@ def _contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         lambda acc, s: F.struct((acc.n + F.greatest(F.lit(0), s.stop - F.greatest(acc.upto, s.start))).alias("n"), F.greatest(acc.upto, s.stop).alias("upto")),
         lambda acc: acc.n,
     )
-    items = found.select("doc_id", "th", "window").distinct().join(windows, "window").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    # a window that several items share stands for their set
+    sets = windows.groupBy("window").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("names"))
+    names = found.select("doc_id", "th", "window").distinct().join(sets, "window").select("doc_id", "th", "names").distinct()
+    items = names.groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("items"))
     null = F.lit(None)
     hits = spans.select("doc_id", "th", hit.cast("long").alias("n_hit"), null.cast("array<string>").alias("items")).unionByName(items.select("doc_id", "th", null.cast("long").alias("n_hit"), "items"))
     hits = hits.groupBy("doc_id", "th").agg(F.max("n_hit").alias("n_hit"), F.max("items").alias("items"))
