@@ -9,7 +9,7 @@ A stratum or rule without enough labels has no cutoff and rejects nothing.
 
 Defined results: null and blank texts have no words and fail the base. Null languages are a stratum. Documents without a label or id take
 no part in the choice but are judged. Each row comes out once; a document that comes repeatedly counts once in the holdout, as does a
-repeated label; documents with both labels do not count.
+repeated label; documents with both labels do not count. No documents give no rows; without labels there are no cutoffs.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 #: Rules and their cutoffs, in percent, from the most lenient on.
 RULES = {"symbol": "100 * n_symbols / greatest(word_chars, 1)", "dup_line": "100 * n_dup_lines / greatest(n_lines, 1)", "repeat": "100 * n_repeat_words / greatest(n_words, 1)", "long_word": "word_chars / greatest(n_words, 1)"}
 CUTOFFS = {"symbol": [40, 30, 20, 15, 10, 7, 5, 3], "dup_line": [90, 75, 60, 50, 40, 30, 20, 10], "repeat": [28, 25, 22, 19, 16, 13, 10, 7], "long_word": [40, 30, 25, 20, 16, 14, 12, 10]}
-#: Terms of the binomial tail that are summed one by one; all below count as the last, which makes the tail larger.
-TERMS = 400
+#: Steps of the continued fraction of the binomial tail; it converges in fewer than the square root of the larger parameter.
+STEPS = 2000
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -78,19 +78,32 @@ def log_gamma(x: Column) -> Column:
 
 
 def binomial_tail(k: Column, n: Column, rate: float) -> Column:
-    """P(at most k of n) at this rate, from above; 1 where k is beyond the mean."""
-    top = F.exp(log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0) + k * F.log(F.lit(rate)) + (n - k) * F.log(F.lit(1 - rate)))
-    steps = F.least(k, F.lit(TERMS))
-    odds = (1 - rate) / rate
-    start = F.struct(top.alias("term"), top.alias("sum"))
-    # the term for j - 1 from that for j
-    walked = F.aggregate(
-        F.sequence(F.lit(0), steps.cast("int")),
-        start,
-        lambda acc, i: F.when(i < steps, F.struct((acc.term * (k - i) / (n - k + i + 1.0) * odds).alias("term"), (acc.sum + acc.term * (k - i) / (n - k + i + 1.0) * odds).alias("sum"))).otherwise(acc),
-        lambda acc: acc.sum + acc.term * (k - steps),
-    )
-    return F.when(k > n * rate, F.lit(1.0)).otherwise(F.least(F.lit(1.0), walked))
+    """P(at most k of n) at this rate; 1 where k is beyond the mean.
+
+    It is the incomplete beta function of n - k and k + 1 at 1 - rate, from its continued fraction by the modified Lentz method, whose steps
+    grow with the square root of n at most; the fraction is taken of whichever tail it converges for.
+    """
+    a, b, x = n - k, k + 1.0, F.lit(1 - rate)
+    front = F.exp(log_gamma(n + 1.0) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log(1 - x))
+    tiny = F.lit(1e-300)
+    safe = lambda v: F.when(F.abs(v) < tiny, tiny).otherwise(v)
+
+    def fraction(p: Column, q: Column, y: Column) -> Column:
+        steps = F.least(F.lit(STEPS), F.ceil(F.sqrt(F.greatest(p, q)) * 4 + 40)).cast("int")
+        begin = F.lit(1.0) / safe(1 - (p + q) * y / (p + 1))
+        start = F.struct(F.lit(1.0).alias("c"), begin.alias("d"), begin.alias("h"))
+
+        def step(acc: Column, m: Column) -> Column:
+            even = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
+            odd = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
+            d1, c1 = 1 / safe(1 + even * acc.d), safe(1 + even / acc.c)
+            d2, c2 = 1 / safe(1 + odd * d1), safe(1 + odd / c1)
+            return F.struct(c2.alias("c"), d2.alias("d"), (acc.h * d1 * c1 * d2 * c2).alias("h"))
+
+        return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda acc: acc.h)
+
+    tail = F.when(x < (a + 1) / (a + b + 2), front * fraction(a, b, x) / a).otherwise(1 - front * fraction(b, a, 1 - x) / b)
+    return F.when(k > n * rate, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), tail)))
 
 
 def cutoffs(scored: DataFrame, labels: DataFrame) -> DataFrame:
@@ -129,6 +142,6 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that pass, all columns kept. A row is its id, text and language: others of its id, or without one, stand for themselves."""
-    bad = _judged(docs, labels).where("not kept").select(F.col("doc_id").alias("bad_id"), F.col("th").alias("bad_th"), F.col("lang").alias("bad_lang")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_th")) & F.col("lang").eqNullSafe(F.col("bad_lang"))
+    bad = _judged(docs.select("doc_id", "text", "lang"), labels).where("not kept").select("doc_id", "th", "lang").distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["th"]) & docs["lang"].eqNullSafe(bad["lang"])
     return docs.join(bad, same, "left_anti")

@@ -33,5 +33,5 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
 
 def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs (doc_id, text and any others) without the rows of gone (doc_id, th), other rows of the same id or without one left alone."""
-    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_th")), "left_anti")
+    gone = gone.select("doc_id", "th").distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["th"]), "left_anti")
