@@ -47,13 +47,17 @@ def test_quality_base(spark, docs):
 
 def test_quality_cutoffs(spark):
     """A stratum with many clean good documents gets cutoffs, one with few gets none; the tail is the binomial's."""
-    from math import comb
+    from fractions import Fraction
+    from math import comb, exp, fsum, lgamma, log
 
     from pyspark.sql import functions as F
 
-    got = spark.range(1).select(*[quality.binomial_tail(F.lit(float(k)), F.lit(float(n)), 0.01).alias(f"p{k}_{n}") for k, n in ((0, 300), (2, 900), (30, 4000))]).first()
-    for k, n in ((0, 300), (2, 900), (30, 4000)):
-        assert got[f"p{k}_{n}"] == pytest.approx(sum(comb(n, j) * 0.01**j * 0.99 ** (n - j) for j in range(k + 1)), rel=1e-9)
+    tail = lambda k, n: fsum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * log(0.01) + (n - j) * log(0.99)) for j in range(k + 1))
+
+    got = spark.range(1).select(*[quality.binomial_tail(F.lit(float(k)), F.lit(float(n)), 0.01).alias(f"p{k}_{n}") for k, n in ((0, 300), (2, 900), (30, 4000), (600, 70_000), (0, 1))]).first()
+    for k, n in ((0, 300), (2, 900), (30, 4000), (600, 70_000)):
+        assert got[f"p{k}_{n}"] == pytest.approx(float(sum(comb(n, j) * Fraction(1, 100) ** j * Fraction(99, 100) ** (n - j) for j in range(k + 1))) if n < 5000 else tail(k, n), rel=1e-9)
+    assert got.p0_1 == pytest.approx(0.99)
     plain = " ".join(f"w{i}" for i in range(40))
     odd = plain + "".join(f" #####{i}" for i in range(20))
     rows = [(i, plain, "en") for i in range(1500)] + [(5000 + i, plain, "fr") for i in range(20)] + [(9000, odd, "en"), (9001, odd, "fr")]
@@ -77,32 +81,59 @@ def test_chat(spark):
     assert chat.read_back(chat.expand(df.limit(0))).count() == 0
 
 
-def test_line_templates(docs):
-    rows = list(dict.fromkeys(pairs(docs)))
-    token = lambda line: ["<*>" if re.search("[0-9]", w) else w for w in BLANK.findall(line)]
-    lines = [(i, t, k, tuple(token(x))) for i, t in rows for k, x in enumerate((t or "").split("\n")) if t is not None and len(token(x)) >= 3]
-    leaves = collections.defaultdict(set)
+def gone_lines(rows):
+    """Numbers of the lines that go, for each (doc_id, text) of rows."""
+    token = lambda line: tuple("<*>" if re.search("[0-9]", w) else w for w in BLANK.findall(line))
+    lines = [(i, t, k, token(x)) for i, t in dict.fromkeys(rows) if t is not None for k, x in enumerate(t.split("\n")) if token(x)]
+    nodes, grown = collections.defaultdict(set), {}
     for *_, w in lines:
-        leaves[len(w), w[:3]].add(w)
-    grown = {}
-    for leaf, members in leaves.items():
-        if len(members) > 1:
-            common = [max(((n, x) for x, n in collections.Counter(m[p] for m in members).items()))[1] for p in range(leaf[0])]
+        nodes[len(w), w[:3]].add(w)
+    while nodes := {node: ms for node, ms in nodes.items() if len(ms) > 1}:
+        parts = collections.defaultdict(set)
+        for node, members in nodes.items():
+            places = [collections.Counter(m[p] for m in members) for p in range(3, len(next(iter(members))))]
+            common = [max((n, x) for x, n in c.items())[1] for c in places]
+            split = min((len(c), p) for p, c in enumerate(places) if len(c) > 1)[1]
             for m in members:
-                if sum(a == b for a, b in zip(m, common)) >= leaf[0] * 0.7 - 1e-9:
-                    grown[m] = leaf
-    holders = collections.defaultdict(set)
+                if 100 * sum(a == b for a, b in zip(m[3:], common)) >= 70 * len(common):
+                    grown[m] = node
+                else:
+                    parts[node, split, m[3 + split]].add(m)
+        nodes = parts
+    keys = lambda w: ([("family", grown[w], 5)] if w in grown else []) + ([("own", w, 2 if len(w) >= 50 else 5)] if w not in grown or len(w) >= 50 else [])
+    holders, gone = collections.defaultdict(set), collections.defaultdict(set)
     for i, t, _, w in lines:
-        holders[grown.get(w, w)].add((i, t))
-    gone = collections.defaultdict(set)
+        for key in keys(w):
+            holders[key].add((i, t))
     for i, t, k, w in lines:
-        have = holders[grown.get(w, w)]
-        if len(have) >= 5 and i != min((x for x, _ in have if x is not None), default=None):
-            gone[i, t].add(k)
+        for key in keys(w):
+            if len(holders[key]) >= key[2] and i != min((x for x, _ in holders[key] if x is not None), default=None):
+                gone[i, t].add(k)
+    return gone
+
+
+def test_line_templates(docs):
+    gone = gone_lines(pairs(docs))
     want = [(i, len((t or "").split("\n")) if t is not None else 0, len(gone[i, t]), None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i, t])) for i, t in pairs(docs)]
     assert rows_of(line_templates.without_recurring_lines(docs), "doc_id", "n_lines", "n_dropped", "kept_text") == sorted(want, key=repr)
 
 
+def test_line_families(spark):
+    """Two families of one leaf, short lines that recur, and a long line in two documents; lines of few documents and of no family stay."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    long, twice = " ".join(word() for _ in range(60)), " ".join(word() for _ in range(30))
+    texts = [f"Posted by the {word()} team under News today\n{word()} {word()} {word()} {word()}\nRead more" for _ in range(6)]
+    texts += [f"Posted by the staff {word()} of our Berlin desk" for _ in range(9)]
+    texts += [f"{long}\n{twice}\na", f"b {word()}\n{long}\n{twice}"]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    got = {r.doc_id: r.kept_text for r in line_templates.without_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = gone_lines(rows)
+    assert got == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i, t]) for i, t in rows}
+    assert got[0] == texts[0] and all(got[k] == texts[k].split("\n")[1] for k in range(1, 6)) and got[6] == texts[6] and not any(got[k] for k in range(7, 15))
+    assert got[15] == texts[15] and got[16] == f"{texts[16].split(chr(10))[0]}\n{twice}"
+
+
 def test_license_base(docs):
     want = []
     for i, t in pairs(docs):
@@ -130,11 +161,24 @@ def test_token_files(spark, docs):
         want.append((i, start, len(ids) // 4, zlib.crc32(ids)))
         start += len(ids) // 4
     folder, manifest = token_files.write_token_files(docs, vocabulary("byte_bpe_50k.json"))
-    got = rows_of(token_files.read_token_files(folder, manifest), "doc_id", "start", "n_tokens", "ids_crc32") if want else []
+    got = rows_of(token_files.read_token_files(folder, manifest), "doc_id", "start", "n_tokens", "ids_crc32")
     known = lambda rows: sorted((r for r in rows if r[0] is not None), key=repr)
     assert known(got) == known(want) and sorted(r[2:] for r in got) == sorted(r[2:] for r in want)
 
 
+def test_encoder_pieces(monkeypatch):
+    """Pieces, generations of them and whole texts give the library's ids, blanks, contractions and odd characters included."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "REMEMBERED", 40)
+    path = vocabulary("byte_bpe_50k.json")
+    encode, t, rng = token_files.Encoder(path), Tokenizer.from_file(path), np.random.default_rng(8)
+    bits = ["it's", "don't,", "O'er", "a.b", "...", " ", "  ", "\n", "\t", "é", "ß!", "12,345.6", "(x)", "'re", "\xa0", "日本", "word", "Über", "“q”", "–", "e\u0301", "\r\n", "<|endoftext|>", "#", "_"]
+    for k in range(3000):
+        text = rng.choice(["", " ", " ", "\n"]).join(rng.choice(bits[: rng.integers(3, len(bits) + 1)], rng.integers(1, 12)).tolist())
+        assert encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
 def test_frames_damage_and_random_access():
     out = token_files.FrameFile()
     for i in range(5):
@@ -209,7 +253,7 @@ def test_personal_data_tagger():
         v[at] += 1e-4
         assert (up - down) / 2e-4 == pytest.approx(grad[k][at], rel=0.02), k
     long = "word " * 300 + "call (743) 555-3824 now " + "word " * 300
-    assert [(k, long[a:b]) for k, a, b in next(pii.all_spans(tagger, [long]))[1]] in ([("phone", "(743) 555-3824")], [])
+    assert [(k, long[a:b]) for k, a, b in next(pii.all_spans(tagger, [long]))[1]] == [("phone", "(743) 555-3824")]
 
 
 def _components(rows):
@@ -257,7 +301,9 @@ def test_near_duplicate_family(spark):
     assert got == sorted(((i, found[i, t][1]) for i, t in rows), key=repr)
 
 
-def test_decontamination(spark, docs):
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST_WINDOWS, 0])
+def test_decontamination(spark, docs, broadcast, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
     extra = [(1000, "one two three"), (1001, None), (1002, "  "), (1003, "X"), (1003, "X"), (1004, "the same eight words stand here again and again the same eight words"), (1005, "ab")]
     bench = table(spark, "/root/testdata/sf0.001", "benchmark").select("item_id", "text").union(spark.createDataFrame(extra, "item_id long, text string"))
     windows = collections.defaultdict(set)
@@ -306,12 +352,50 @@ def test_substring_dedup_in_batches(small):
     found = _kept(pairs(small))
     history, got = None, []
     for k, part in enumerate(("doc_id < 60", "doc_id between 60 and 120", "doc_id > 120")):
-        out, runs = substring_dedup.remove_repeats(small.where(part), history, buckets=8, n_runs=3, first=10 * k)
+        out, index = substring_dedup.remove_repeats(small.where(part), history, buckets=8, n_runs=3, first=10 * k)
         got += rows_of(out, "doc_id", "n_words", "n_removed", "kept_sha256")
-        history = substring_dedup.compact(runs if history is None else runs.unionByName(history))
-    ids = {r[0] for r in got}
-    assert sorted(x for x in got if x[2] or x[0] in ids) and len(got) == small.count()
-    assert {r[0]: r[1:] for r in got} == {i: v for (i, _), v in found.items()}
+        runs, kept = (index.runs, index.docs) if history is None else (index.runs.unionByName(history.runs), index.docs.unionByName(history.docs))
+        history = substring_dedup.Index(substring_dedup.compact(runs), kept)
+    assert len(got) == small.count() and {r[0]: r[1:] for r in got} == {i: v for (i, _), v in found.items()}
+
+
+def colliding_words():
+    """Two words of 1,024 letters that every polynomial hash modulo 2^64 takes for one."""
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    a, b = colliding_words()
+    head = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"{head} {a}"), (2, f"{head} {b}"), (3, f"x {head} {b}"), (4, a), (5, b)], "doc_id long, text string")
+    assert rows_of(substring_dedup.remove_repeats(docs)[0], "doc_id", "n_removed") == [(1, 0), (2, 0), (3, 13), (4, 0), (5, 0)]
+    assert rows_of(near_dedup.near_duplicates(docs), "doc_id", "component_id") == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)]
+
+
+def test_equal_fingerprints_of_other_words_remove_nothing(monkeypatch):
+    """With fingerprints of 3 bits nearly all windows share theirs; the words decide, inside a run and against spans of others."""
+    real = substring_dedup.Words.windows
+    monkeypatch.setattr(substring_dedup.Words, "windows", lambda self, n: (real(self, n)[0] & np.uint64(7), real(self, n)[1]))
+    one, two = [" ".join(f"{x}{k}" for k in range(20)) for x in "ab"]
+    texts = [one, two, f"z {one}\n{two}", f"{two} y"]
+    import pyarrow as pa
+
+    run = substring_dedup._Run(pa.table({"doc_id": pa.array([1, 2, 3, 4]), "text": texts}))
+    assert np.flatnonzero(~run.covered(pa.array([], pa.binary()))).tolist() == [*range(40), 40, 101]
+    late = substring_dedup._Run(pa.table({"doc_id": pa.array([9]), "text": [f"q {one}"]}))
+    assert not late.covered(pa.array([two.encode()], pa.binary())).any()
+
+
+def test_windows_are_compared_word_by_word():
+    import pyarrow as pa
+
+    words = [f"w{k}" for k in range(40)]
+    other = [*words[:20], "w2O", *words[21:]]
+    one, two = (substring_dedup.Words(pa.array([" ".join(w), "\n ".join(w)]), fold_ascii=False) for w in (words, other))
+    at = one.windows(13)[1]
+    assert substring_dedup.same_windows(one, at, two, at).tolist() == [not any(k % 40 <= 20 < k % 40 + 13 for _ in "x") for k in at.tolist()]
+    assert substring_dedup.same_windows(one, at[:28], one, at[:28] + 40).all() and not substring_dedup.same_windows(one, at[:27], one, at[:27] + 1).any()
 
 
 def test_pipeline_on_awkward_rows(spark, awkward, tmp_path):

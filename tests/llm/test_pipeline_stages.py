@@ -1,13 +1,12 @@
 """Every stage of the pipeline leaves the rows and texts that plain Python leaves; the tagger finds a number planted in a long text."""
 
 import collections
-import re
 
 from veriquill.llm import pii
 from veriquill.llm.queries import vocabulary
 from veriquill.llm.spark_io import table
 
-from .test_brute_force import ALNUM, BLANK, LOW, _components, sha
+from .test_brute_force import ALNUM, BLANK, LOW, _components, gone_lines, sha
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,21 +23,8 @@ def good(rows, bench):
 
 
 def without_lines(rows, bench):
-    token = lambda line: tuple("<*>" if re.search("[0-9]", w) else w for w in BLANK.findall(line))
-    lines = [(i, t, k, token(x)) for i, t in dict.fromkeys(rows) for k, x in enumerate(t.split("\n")) if len(token(x)) >= 3]
-    leaves, grown, holders, gone = collections.defaultdict(set), {}, collections.defaultdict(set), collections.defaultdict(set)
-    for *_, w in lines:
-        leaves[len(w), w[:3]].add(w)
-    for leaf, members in leaves.items():
-        common = [max((n, x) for x, n in collections.Counter(m[p] for m in members).items())[1] for p in range(leaf[0])]
-        grown |= {m: leaf for m in members if len(members) > 1 and sum(a == b for a, b in zip(m, common)) >= leaf[0] * 0.7 - 1e-9}
-    for i, t, _, w in lines:
-        holders[grown.get(w, w)].add((i, t))
-    for i, t, k, w in lines:
-        have = holders[grown.get(w, w)]
-        if len(have) >= 5 and i != min((x for x, _ in have if x is not None), default=None):
-            gone[i, t].add(k)
-    out = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i, t]), (i, t) in gone) for i, t in rows]
+    gone = gone_lines(rows)
+    out = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i, t]), bool(gone[i, t])) for i, t in rows]
     return [(i, t) for i, t, cut in out if not cut or BLANK.search(t)]
 
 

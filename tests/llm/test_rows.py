@@ -50,3 +50,43 @@ def test_near_duplicates_without_ids(spark, prose):
     kept = left(near_dedup.keep_one(frame(spark, rows)))
     assert [r for r in kept if r[1] and r[1].lower() == alone] in ([(None, alone)], [(None, alone.upper())])
     assert [r for r in kept if not r[1] or r[1].lower() != alone] == sorted([(1, drift(0)), (4, copied), (5, other), (5, single), (None, " "), (None, " "), (None, None)], key=repr)
+
+
+EXTRA = ("gone_id", "gone_th", "gone", "bad_id", "bad_th", "bad_lang", "dirty_id", "row", "row_id", "group", "id", "a", "b", "at", "n", "leaf", "node", "key", "kept", "words", "contaminated", "stratum", "hit_id")
+
+
+def test_other_columns_stay_whatever_their_names(spark, prose):
+    """Stages keep columns that have the names of their own helpers, and empty tables stay empty."""
+    from pyspark.sql import functions as F
+
+    from veriquill.llm import line_templates
+
+    item, common = prose(12), prose(60)
+    texts = [f"{prose(30)}\n{common}", f"{prose(30)}\n{common}", f"{prose(20)} {item}", "short", prose(40), None]
+    docs = frame(spark, list(enumerate(texts))).select("*", *[F.concat(F.lit(f"{c} "), F.col("doc_id")).alias(c) for c in EXTRA])
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    stages = {
+        (0, 1, 2, 4): lambda d: quality.keep_good(d, labels),
+        (0, 1, 2, 3, 4, 5): line_templates.dedup_lines,
+        (0, 1, 3, 4, 5): lambda d: decontaminate.clean(d, bench),
+        (0, 1, 2, 3, 4, None): lambda d: near_dedup.keep_one(d.withColumn("doc_id", F.when(F.col("doc_id") < 5, F.col("doc_id")))),
+    }
+    for ids, stage in stages.items():
+        out = stage(docs)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert sorted((r.doc_id for r in rows), key=repr) == sorted(ids, key=repr)
+        assert all(r[c] == f"{c} {5 if r.doc_id is None else r.doc_id}" for r in rows for c in EXTRA)
+        assert stage(docs.limit(0)).count() == 0
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from veriquill.llm.spark_io import shared_dir
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
