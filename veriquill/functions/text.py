@@ -54,9 +54,14 @@ def clean_text(text: Column) -> Column:
 
 
 def strip_markers(text: Column) -> Column:
-    """Text without [[cN]] and the blanks before them; at the start of a line its indent stays."""
-    text = F.regexp_replace(text, "(?m)^([ \\t]*)(?:\\[\\[c[0-9]+\\]\\][ \\t]*)+", "$1")
-    return F.regexp_replace(text, "[ \\t]*\\[\\[c[0-9]+\\]\\]", "")
+    """Text without [[cN]] and the blanks before them; at the start of a line its indent stays and the blanks after them go.
+
+    The text is cut at the markers and put together again, each part with the blanks on the side that its place asks for removed.
+    """
+    at_start = lambda s: s.rlike("(?:^|\\n)[ \\t]*\\z")
+    joined = lambda s, part: F.when(at_start(s), F.concat(s, F.ltrim(part, F.lit(" \t")))).otherwise(F.concat(F.rtrim(s, F.lit(" \t")), part))
+    parts = F.split(text, "\\[\\[c[0-9]+\\]\\]")
+    return F.aggregate(F.slice(parts, 2, 1 << 30), F.get(parts, F.lit(0)), joined)
 
 
 def redact_keys(text: Column) -> Column:
