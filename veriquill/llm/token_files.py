@@ -8,7 +8,8 @@ two tables and that document's bytes only.
 Files are written by tasks under names of their own and count once the manifest, a Parquet table that Spark commits, names them; a task that
 runs twice leaves a file that nothing names.
 
-Defined results: null and empty texts hold the end id alone. Rows without an id come last. Repeated rows are written once each.
+Defined results: null and empty texts hold the end id alone. Rows without an id come last. Repeated rows are written once each. No documents
+give no files, an empty manifest and no rows.
 """
 
 from __future__ import annotations
@@ -35,24 +36,28 @@ NULL_ID = -(1 << 63)
 #: Fixed values of the zstandard formats: skippable frames for the documents' ids and for the seek table, and the seek table's last bytes.
 IDS_MAGIC, SEEK_MAGIC, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 LEVEL = 1
-#: Text for one file, and distinct words that a task remembers the ids of.
+#: Text for one file, and distinct pieces in each of the two generations that a task remembers the ids of.
 FILE_CHARS = 16 << 20
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Rows of a manifest, about 100 bytes each, that are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_FILES = 200_000
 
 #: The pre-tokens of the byte-level vocabulary, and texts in which this pattern and the library's are known to agree.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7E\xA1-\xAC\xAE-\u024F\u2010-\u2027\u2030-\u205E]*")
-#: Where a cut at each blank, newline, full stop and comma would not be one between pre-tokens.
-JOINED = regex.compile(r"[ \n]{2}|[\t\r]|(?<![\p{L}\p{N}])[.,]|[.,](?![ \n\p{L}\p{N}]|$)")
+#: In texts without these a blank always begins a pre-token and a newline always is one.
+WIDE_SPACES = ("  ", " \n", "\n ", "\n\n", "\t", "\r")
 #: The bytes of the vocabulary: printable ones stand for themselves, the others for characters from 256 on.
 _OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: chr(b) for b in _OWN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _OWN)}
 
 
 class Encoder:
-    """Ids of a text as the tokenizers library gives them. Texts of plain characters are cut at pre-token borders, and the pieces' ids remembered."""
+    """Ids of a text as the tokenizers library gives them.
+
+    Texts of plain characters are cut before blanks and around newlines, which are borders of pre-tokens. Each piece's ids are remembered in
+    two generations: when the younger is full it takes the older one's place.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -60,36 +65,45 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.tokens: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        self.marks = {m: self._tokens([m]) for m in ".,"}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _tokens(self, words: list[str]) -> bytes:
+        return np.array([t.id for w in words for t in self.model.tokenize(w.encode().decode("latin-1").translate(BYTE_CHARS))], "<u4").tobytes()
+
     def _learn(self, piece: str) -> bytes:
-        ids = []
-        for word in PRETOKEN.findall(piece):
-            if (got := self.tokens.get(word)) is None:
-                got = self.tokens[word] = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_CHARS))]
-            ids += got
-        out = self.known[piece] = struct.pack(f"<{len(ids)}I", *ids)
-        return out
+        """The ids of a new piece; those of a word before a full stop or comma are looked up first."""
+        if piece in self.known:
+            return self.known[piece]
+        ids = self.older.get(piece)
+        if ids is None:
+            word, mark = piece[:-1], piece[-1]
+            if mark in self.marks and word and word[-1].isalnum():
+                ids = self._learn(word) + self.marks[mark]
+            else:
+                ids = self._tokens([piece] if piece.lstrip(" ").isalpha() and piece[:2] != "  " else PRETOKEN.findall(piece))
+        self.known[piece] = ids
+        return ids
 
     def __call__(self, text: str) -> bytes:
         if not PLAIN.fullmatch(text) or any(s in text for s in self.specials):
             return self._whole(text)
-        if JOINED.search(text):
+        if any(s in text for s in WIDE_SPACES):
             pieces = PRETOKEN.findall(text)
         else:
-            pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(",", "\0,\0").replace(".", "\0.\0").split("\0")
-        known = self.known
+            pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        known, learn = self.known, self._learn
         try:
-            return b"".join([known[p] for p in pieces])
+            out = b"".join([known[p] for p in pieces])
         except KeyError:
+            out = b"".join([known[p] if p in known else learn(p) for p in pieces])
             if len(known) > REMEMBERED:
-                known.clear()
-                self.tokens.clear()
-            return b"".join([known[p] if p in known else self._learn(p) for p in pieces])
+                self.older, self.known = known, {"": b""}
+        return out
 
 
 @functools.lru_cache(2)
@@ -198,7 +212,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_token_files(folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files that the manifest names."""
-    files = manifest.sparkSession.read.format("binaryFile").load(f"{folder}/*.tokens").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    spark, n = manifest.sparkSession, manifest.count()
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    if not n:
+        return spark.createDataFrame([], schema)
+    files = spark.read.format("binaryFile").load(f"{folder}/*.tokens").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     starts = manifest.select("file", "start")
-    starts = F.broadcast(starts) if manifest.count() <= BROADCAST_FILES else starts
-    return files.join(starts, "file").select("start", "content").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    starts = F.broadcast(starts) if n <= BROADCAST_FILES else starts
+    return files.join(starts, "file").select("start", "content").mapInArrow(_read, schema)
