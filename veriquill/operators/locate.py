@@ -46,13 +46,15 @@ def exact_match(text: Column, quote: Column) -> Column:
     split = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "^\\s+", ""), "\\s+")
     words = F.filter(F.transform(split, lambda w, i: F.struct(w.alias("w"), i.cast("int").alias("i"))), lambda x: squash(x.w) != "")
     q = squash(F.coalesce(quote, F.lit("")))
+    # a column worked out once for all uses in f
+    once = lambda c, f: F.transform(F.array(c), f)[0]
     letters = F.regexp_replace(q, "(?<=.)(?=.)", " ?")
     blanks = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
 
     def places(line: Column) -> Column:
         cut = F.split(line, F.concat(F.lit("(?="), letters, F.lit(")")))
         sizes = F.transform(cut, lambda p: F.length(p))
-        starts = F.transform(sizes, lambda _, k: F.aggregate(F.slice(sizes, F.lit(1), k), F.lit(0), lambda a, x: a + x))
+        starts = once(sizes, lambda n: F.transform(n, lambda _, k: F.aggregate(F.slice(n, F.lit(1), k), F.lit(0), lambda a, x: a + x)))
         # the first piece begins with the quote or before it
         return F.filter(starts, lambda at: (at > 0) | F.regexp_like(line, F.concat(F.lit("^"), letters)))
 
@@ -68,10 +70,10 @@ def exact_match(text: Column, quote: Column) -> Column:
     spans = lambda line: F.transform(places(line), lambda at: span(line, at))
     line = lambda ws: F.array_join(F.transform(ws, lambda x: squash(x.w)), " ")
     on_page = lambda ws, s: F.struct(s.whole.alias("whole"), F.get(ws, s.first).i.alias("first"), F.get(ws, s.last).i.alias("last"))
-    ok = F.transform(F.array(words), lambda ws: F.transform(F.filter(spans(line(ws)), lambda s: has(ws, s)), lambda s: on_page(ws, s)))[0]
-    best = F.transform(F.array(ok), lambda o: F.when(F.exists(o, lambda s: s.whole), F.filter(o, lambda s: s.whole)).otherwise(o))[0]
-    match = F.transform(
-        F.array(best),
+    ok = once(words, lambda ws: F.transform(F.filter(once(line(ws), spans), lambda s: has(ws, s)), lambda s: on_page(ws, s)))
+    best = once(ok, lambda o: F.when(F.exists(o, lambda s: s.whole), F.filter(o, lambda s: s.whole)).otherwise(o))
+    match = once(
+        best,
         lambda b: F.struct(
             F.lit("exact").alias("method"),
             F.when(F.get(b, F.lit(0)).whole, 1.0).otherwise(matching.INSIDE_WORD).alias("score"),
@@ -79,9 +81,9 @@ def exact_match(text: Column, quote: Column) -> Column:
             F.get(b, F.lit(0)).last.alias("last_word"),
             F.least(F.size(b), F.lit(matching.MOST_PLACES)).alias("places"),
         ),
-    )[0]
+    )
     found = (F.length(q) >= matching.LEAST_QUOTE) & F.contains(squash(F.coalesce(text, F.lit(""))), q)
-    return F.when(found, F.when(match.places > 0, match))
+    return F.when(found, F.get(F.filter(F.array(match), lambda m: m.places > 0), F.lit(0)))
 
 
 def with_match(rows: DataFrame, name: str, text: str, quote: str, where: Column | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ EXACT = f"""{CITES}, {PAGES}, c AS (SELECT doc_id, greatest(1, least(page, n)) A
     ok AS (SELECT * FROM m WHERE len(list_filter(need, lambda x: NOT list_contains(have, x))) = 0)"""
 
 
-@query(f"WITH {EXACT} SELECT doc_id, hint AS page, CASE WHEN bool_or(whole) THEN 1.0::DOUBLE ELSE 0.97::DOUBLE END AS score, CAST(CASE WHEN bool_or(whole) THEN count(*) FILTER (WHERE whole) ELSE count(*) END AS INT) AS places FROM ok GROUP BY doc_id, hint")
+@query(f"WITH {EXACT} SELECT doc_id, hint AS page, CASE WHEN bool_or(whole) THEN 1.0::DOUBLE ELSE 0.97::DOUBLE END AS score, CAST(least(200, CASE WHEN bool_or(whole) THEN count(*) FILTER (WHERE whole) ELSE count(*) END) AS INT) AS places FROM ok GROUP BY doc_id, hint")
 def quote_exact_cited(spark, d):
     found = locate.on_cited_page(S.cites(spark, d), S.pages(spark, d)).withColumn("here", locate.exact_match(F.col("text"), F.col("quote"))).where("here is not null")
     return found.select("doc_id", F.col("hint").alias("page"), F.round("here.score", 4).alias("score"), F.col("here.places").alias("places"))
