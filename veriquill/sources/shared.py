@@ -19,10 +19,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/veriquill-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back, so that later jobs neither recompute it nor depend on one executor."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.shared_path = path
     return out
