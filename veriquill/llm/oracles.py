@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, line_templates, quality, substring_dedup
+from . import centroids, decontaminate, fill_middle, licenses, line_templates, quality, sharding, substring_dedup
 from .words_sql import LOWER, UPPER
 
 TEXT = "coalesce(text, '')"
@@ -114,6 +114,45 @@ p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d
 k AS (SELECT p.doc_id, count(c.i) AS n_removed, string_agg(word, ' ' ORDER BY p.i) FILTER (WHERE c.i IS NULL) AS kept FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.i = c.i GROUP BY p.doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
 
+_FLOOR = f"list_transform(embedding, lambda x: floor(x::DOUBLE * {centroids.SCALE}))"
+
+
+def _nearest(c: str) -> str:
+    """vec_id, q, c, d: the nearest of the centroids in a table (c, q)."""
+    return f"SELECT vec_id, q, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.vec_id, v.q, c.c, list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, {c} AS c) GROUP BY vec_id, q"
+
+
+def _mean(c: str, a: str) -> str:
+    return f"SELECT c.c, coalesce(m.q, c.q) AS q FROM {c} AS c LEFT JOIN (SELECT c, list(f ORDER BY i) AS q FROM (SELECT c, i, floor(sum(x) / count(*)) AS f FROM (SELECT c, unnest(q) AS x, unnest(range(0, len(q))) AS i FROM {a}) GROUP BY c, i) GROUP BY c) AS m USING (c)"
+
+
+_STEPS = ",\n".join(f"a{r} AS MATERIALIZED ({_nearest(f'c{r}')}), c{r + 1} AS MATERIALIZED ({_mean(f'c{r}', f'a{r}')})" for r in range(centroids.ROUNDS))
+OP11 = f"""WITH v AS MATERIALIZED (SELECT vec_id, {_FLOOR} AS q FROM embeddings WHERE len(embedding) = {centroids.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {centroids.DIMENSIONS}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, q FROM (SELECT sha256('1:' || vec_id) AS h, q FROM v ORDER BY h LIMIT {centroids.CENTROIDS})),
+{_STEPS},
+z AS ({_nearest(f'c{centroids.ROUNDS}')})
+SELECT vec_id, CAST(z.c AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY z.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(list_transform(c.q, lambda x: x::BIGINT), ',')) AS centroid_sha256 FROM z JOIN c{centroids.ROUNDS} AS c ON z.c = c.c"""
+
+_NODES = ", ".join(f"({n}, {level}, '{parent}', '{child}', {weight}::DOUBLE)" for n in (sharding.BASE, sharding.BASE + 1) for level, of in enumerate(sharding._children(sharding.layout(n))) for parent, kids in of.items() for child, weight in kids.items())
+_DOWN = "SELECT doc_id, n, arg_min(child, (-ln((('0x' || substr(md5('id ' || doc_id || '@' || child), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE) / weight, child)) AS leaf FROM {} GROUP BY doc_id, n"
+_STEP = lambda k: f"SELECT p{k - 1}.doc_id, node.n, child, weight FROM p{k - 1} JOIN node ON level = {k} AND parent = leaf AND node.n = p{k - 1}.n"
+OP12 = f"""WITH node(n, level, parent, child, weight) AS (VALUES {_NODES}),
+p0 AS MATERIALIZED ({_DOWN.format('(SELECT doc_id, n, child, weight FROM documents, node WHERE level = 0)')}), p1 AS MATERIALIZED ({_DOWN.format(f'({_STEP(1)})')}), p2 AS MATERIALIZED ({_DOWN.format(f'({_STEP(2)})')}),
+s AS (SELECT doc_id, n, CAST(regexp_extract(leaf, '[0-9]+$') AS INT) AS shard FROM p2),
+bits AS (SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+crc AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({TEXT})), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS crc FROM documents, bits)
+SELECT doc_id, octet_length(encode({TEXT})) + 1 AS size, CAST(crc AS BIGINT) AS text_crc32, 'key' AS law, a.shard, row_number() OVER (PARTITION BY a.shard ORDER BY doc_id) - 1 AS slot, b.shard AS grown_shard
+FROM documents JOIN crc USING (doc_id) JOIN s AS a USING (doc_id) JOIN s AS b USING (doc_id) WHERE a.n = {sharding.BASE} AND b.n = {sharding.BASE + 1}"""
+
+_PART = lambda k: f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT"
+_P, _S3, _M = fill_middle.PREFIX, fill_middle.SUFFIX, fill_middle.MIDDLE
+OP13 = f"""WITH d AS (SELECT doc_id, {TEXT} AS t, length({TEXT}) AS n, sha256('1:' || doc_id) AS h FROM documents),
+c AS (SELECT *, least({_PART(0)} % (n + 1), {_PART(1)} % (n + 1)) AS a, greatest({_PART(0)} % (n + 1), {_PART(1)} % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '{_P}') OR contains(t, '{_S3}') OR contains(t, '{_M}') OR {_PART(2)} % 100 >= {100 - fill_middle.PLAIN_PERCENT} THEN 'plain' WHEN {_PART(3)} % 100 < {fill_middle.SPM_PERCENT} THEN 'spm' ELSE 'psm' END AS form FROM d),
+s AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS x FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{_P}' || p || '{_S3}' || x || '{_M}' || m ELSE '{_S3}' || x || '{_P}' || p || '{_M}' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM s"""
+
 ORACLES = {
     "op1_quality_rules": OP1,
     "op2_chat_formatting": OP2,
@@ -122,4 +161,7 @@ ORACLES = {
     "op8_near_duplicates": OP8,
     "op9_decontamination": OP9,
     "op10_substring_dedup": OP10,
+    "op11_centroid_clustering": OP11,
+    "op12_sharding": OP12,
+    "op13_fill_in_middle": OP13,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, licenses, line_templates, near_dedup, pii, quality, substring_dedup, token_files
+from . import bpe, centroids, chat, decontaminate, fill_middle, licenses, line_templates, near_dedup, pii, quality, sharding, substring_dedup, token_files
 from .oracles import ORACLES  # noqa: F401
 from .spark_io import table
 
@@ -59,10 +59,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))[0].drop("kept_text")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = [F.sha2(c, 256).alias(n) for c, n in ((F.col("output"), "output_sha256"), (fill_middle.restored(F.col("output"), F.col("form")), "restored_sha256"))]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op3_line_dedup, op4_license_scan, op5_token_files, op6_bpe, op7_personal_data, op8_near_duplicates, op9_decontamination, op10_substring_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op3_line_dedup, op4_license_scan, op5_token_files, op6_bpe, op7_personal_data, op8_near_duplicates, op9_decontamination, op10_substring_dedup, op11_centroid_clustering, op12_sharding, op13_fill_in_middle, pipeline)}
