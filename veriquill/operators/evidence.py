@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import STOP_WORDS, claim_tokens, numbers, squash
+from ..sources.shared import materialize
 
 #: Quotes are a query set: their k-grams and the short ones are broadcast up to these numbers, joined by a shuffle (short ones: in blocks) beyond.
 QUOTE_GRAMS, QUOTE_BLOCK = 2_000_000, 20_000
@@ -13,6 +14,11 @@ MIN_QUOTE = 4
 BLOCK = 12
 
 
+def blocks(s: Column) -> Column:
+    """A squashed text cut into runs of BLOCK characters; what is left at its end is no block."""
+    return F.regexp_extract_all(s, F.lit(f".{{{BLOCK}}}"), 0)
+
+
 def locate_exact(texts: DataFrame, quotes: DataFrame, key: list[str]) -> DataFrame:
     """key, item_id, guarded: texts that contain a quote after squashing; guarded if they also have all the quote's numbers.
 
@@ -21,15 +27,14 @@ def locate_exact(texts: DataFrame, quotes: DataFrame, key: list[str]) -> DataFra
     each time they occur, repeated quotes too.
     """
     wanted = quotes.select("item_id", squash(F.col("text")).alias("q"), F.array_distinct(numbers(F.col("text"))).alias("need")).where(F.length("q") >= MIN_QUOTE)
-    have = texts.select(*key, squash(F.col("text")).alias("s"), numbers(F.col("text")).alias("have"))
+    # texts are squashed once, for their blocks, for the search and for short quotes
+    have = materialize(texts.select(*key, squash(F.col("text")).alias("s"), F.array_distinct(numbers(F.col("text"))).alias("have")).withColumn("row", F.xxhash64(*key, "s")))
     guarded = (F.size(F.array_except("need", "have")) == 0).alias("guarded")
     long = wanted.where(F.length("q") >= 2 * BLOCK - 1)
     grams = long.select(F.xxhash64("q").alias("qh"), F.explode(F.transform(F.sequence(F.lit(1), F.length("q") - BLOCK + 1), lambda i: F.substr("q", i, F.lit(BLOCK)))).alias("gram")).distinct()
     grams = F.broadcast(grams) if grams.count() <= QUOTE_GRAMS else grams
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.length("s") / BLOCK) - 1, F.lit(0)).cast("int")), lambda i: F.substr("s", i * BLOCK + 1, F.lit(BLOCK)))
-    cut = have.where(F.length("s") >= BLOCK).select(F.xxhash64(*key, "s").alias("row"), F.explode(F.array_distinct(blocks)).alias("gram"))
-    pairs = cut.join(grams, "gram").select("row", "qh").distinct()
-    found = have.withColumn("row", F.xxhash64(*key, "s")).join(pairs, "row").join(long.withColumn("qh", F.xxhash64("q")), "qh").where(F.contains("s", "q")).select(*key, "item_id", guarded)
+    pairs = have.select("row", F.explode(F.array_distinct(blocks(F.col("s")))).alias("gram")).join(grams, "gram").select("row", "qh").distinct()
+    found = have.join(pairs, "row").join(long.withColumn("qh", F.xxhash64("q")), "qh").where(F.contains("s", "q")).select(*key, "item_id", guarded)
     short = wanted.where(F.length("q") < 2 * BLOCK - 1)
     n = short.count()
     turns = max(1, -(-n // QUOTE_BLOCK)) if n else 0

@@ -5,40 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.terms import content_terms, pairs, terms
+from ..sources.shared import materialize
 
 # What a term counts in a title, among key items and in a summary; the share of phrases; the least share of the best score.
 IN_TITLE, IN_KEYS, IN_SUMMARY, PHRASE, LEAST_SHARE, FIGURE = 2.0, 1.5, 1.0, 0.25, 0.25, 0.3
 MOST_PAGES = 4
 
 
-def rank_nodes(questions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """question_id, node_id, score, rank for questions (question_id, text) and nodes (node_id, title, keys, summary, lo, hi; keys is text).
+def rank_nodes(questions: DataFrame, nodes: DataFrame, outline: tuple[str, ...] = ()) -> DataFrame:
+    """question_id, node_id, score, rank (and the outline's columns) for questions (question_id, text) and nodes (node_id, title, keys, summary, lo, hi; keys is text).
 
-    Terms weigh more the fewer nodes have them, figures less. Questions meet nodes through equal terms and pairs of terms, never all with
-    all. Kept are nodes with LEAST_SHARE of the question's best score; narrow ones come first, then those that start earlier.
+    Terms weigh more the fewer nodes have them, figures less. With `outline` (columns that both have, such as doc_id) a question is asked of the
+    nodes of its own outline only, and terms are weighed there; without, all nodes are one outline. Questions meet nodes through equal terms and
+    pairs of terms, never all with all. Kept are nodes with LEAST_SHARE of the question's best score; narrow ones come first, then those that
+    start earlier.
     """
-    asked = questions.select("question_id", content_terms(F.col("text")).alias("seq"))
-    asked_terms = asked.select("question_id", F.explode(F.array_distinct("seq")).alias("term"))
-    place = lambda column, worth: nodes.select("node_id", F.explode(F.array_distinct(terms(F.col(column)))).alias("term"), F.lit(worth).alias("worth"))
-    where = place("title", IN_TITLE).unionByName(place("keys", IN_KEYS)).unionByName(place("summary", IN_SUMMARY)).groupBy("node_id", "term").agg(F.max("worth").alias("worth"))
-    held = where.join(asked_terms.select("term").distinct(), "term")
-    total = nodes.agg(F.count("*").alias("n_nodes"))
-    known = asked_terms.select("term").distinct().join(held.groupBy("term").agg(F.count("*").alias("df")), "term", "left").crossJoin(F.broadcast(total))
+    by = list(outline)
+    asked = questions.select(*by, "question_id", content_terms(F.col("text")).alias("seq"))
+    asked_terms = materialize(asked.select(*by, "question_id", F.explode(F.array_distinct("seq")).alias("term")))
+    known_terms = asked_terms.select(*by, "term").distinct()
+    asked_pairs = asked.select(*by, "question_id", F.explode(pairs(F.col("seq"))).alias("pair"))
+    # each node's terms are worked out once; only those that a question has are kept
+    places = F.array(*[F.struct(F.array_distinct(terms(F.col(c))).alias("held"), F.lit(w).alias("worth")) for c, w in (("title", IN_TITLE), ("keys", IN_KEYS), ("summary", IN_SUMMARY))])
+    where = nodes.select(*by, "node_id", F.inline(places)).select(*by, "node_id", F.explode("held").alias("term"), "worth").join(known_terms, [*by, "term"])
+    held = materialize(where.groupBy(*by, "node_id", "term").agg(F.max("worth").alias("worth")))
+    sizes = nodes.groupBy(*by).agg(F.count("*").alias("n_nodes"))
+    counts = known_terms.join(held.groupBy(*by, "term").agg(F.count("*").alias("df")), [*by, "term"], "left")
+    counts = counts.join(sizes, by, "left") if by else counts.crossJoin(F.broadcast(sizes))
     weight = F.log1p(F.col("n_nodes") / (F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)) + 1)) * F.when(F.col("term").rlike("^[0-9]"), FIGURE).otherwise(1.0)
-    weights = known.select("term", weight.alias("w"))
-    sums = asked_terms.join(weights, "term").groupBy("question_id").agg(F.sum("w").alias("all"))
-    base = asked_terms.join(weights, "term").join(held, "term").groupBy("question_id", "node_id").agg(F.sum(F.col("w") * F.col("worth")).alias("base"))
-    asked_pairs = asked.select("question_id", F.explode(pairs(F.col("seq"))).alias("pair"))
-    node_pairs = nodes.select("node_id", F.explode(pairs(content_terms(F.concat_ws(" ", "title", "keys", "summary")))).alias("pair"))
-    half = weights.select("term", (F.col("w") / 2).alias("half"))
-    worth = asked_pairs.select("pair").distinct().select("pair", F.explode(F.split("pair", " ")).alias("term")).join(half, "term").groupBy("pair").agg(F.sum("half").alias("half"))
-    phrase = asked_pairs.join(worth, "pair").join(node_pairs, "pair").groupBy("question_id", "node_id").agg(F.sum("half").alias("phrase"))
-    scored = base.join(phrase, ["question_id", "node_id"], "left").join(sums, "question_id").join(nodes.select("node_id", "lo", "hi"), "node_id")
-    scored = scored.select("question_id", "node_id", "lo", "hi", (F.col("base") / (F.col("all") * 2) + F.coalesce("phrase", F.lit(0.0)) / F.col("all") * PHRASE).alias("score"))
-    best = F.max("score").over(Window.partitionBy("question_id"))
-    order = Window.partitionBy("question_id").orderBy(F.desc(F.round(F.col("score") / F.sqrt(F.col("hi") - F.col("lo") + 1), 9)), "lo", "node_id")
-    kept = scored.withColumn("best", best).where((F.col("best") > 0) & (F.col("score") >= F.col("best") * LEAST_SHARE))
-    return kept.select("question_id", "node_id", F.round("score", 6).alias("score"), F.row_number().over(order).alias("rank"))
+    weights = materialize(counts.where("n_nodes is not null").select(*by, "term", weight.alias("w")))
+    weighed = asked_terms.join(weights, [*by, "term"])
+    sums = weighed.groupBy(*by, "question_id").agg(F.sum("w").alias("all"))
+    base = weighed.join(held, [*by, "term"]).groupBy(*by, "question_id", "node_id").agg(F.sum(F.col("w") * F.col("worth")).alias("base"))
+    node_pairs = nodes.select(*by, "node_id", F.explode(pairs(content_terms(F.concat_ws(" ", "title", "keys", "summary")))).alias("pair"))
+    half = weights.select(*by, "term", (F.col("w") / 2).alias("half"))
+    worth = asked_pairs.select(*by, "pair").distinct().select(*by, "pair", F.explode(F.split("pair", " ")).alias("term")).join(half, [*by, "term"]).groupBy(*by, "pair").agg(F.sum("half").alias("half"))
+    phrase = asked_pairs.join(worth, [*by, "pair"]).join(node_pairs, [*by, "pair"]).groupBy(*by, "question_id", "node_id").agg(F.sum("half").alias("phrase"))
+    scored = base.join(phrase, [*by, "question_id", "node_id"], "left").join(sums, [*by, "question_id"]).join(nodes.select(*by, "node_id", "lo", "hi"), [*by, "node_id"])
+    scored = scored.select(*by, "question_id", "node_id", "lo", "hi", (F.col("base") / (F.col("all") * 2) + F.coalesce("phrase", F.lit(0.0)) / F.col("all") * PHRASE).alias("score"))
+    asking = Window.partitionBy(*by, "question_id")
+    order = asking.orderBy(F.desc(F.round(F.col("score") / F.sqrt(F.col("hi") - F.col("lo") + 1), 9)), "lo", "node_id")
+    kept = scored.withColumn("best", F.max("score").over(asking)).where((F.col("best") > 0) & (F.col("score") >= F.col("best") * LEAST_SHARE))
+    return kept.select(*by, "question_id", "node_id", F.round("score", 6).alias("score"), F.row_number().over(order).alias("rank"))
 
 
 def windows_left(pages: DataFrame, done: DataFrame, most: int = MOST_PAGES) -> DataFrame:

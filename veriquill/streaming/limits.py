@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -48,11 +49,26 @@ class Allowance:
         return 0
 
 
-def _used(limit: int, seconds: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, state = rows.sort_values(["at", "event_id"]), Allowance(limit, seconds)
-        waits = [state.use(op, at, n) for op, at, n in rows[["op", "at", "n"]].itertuples(index=False)]
-        return pd.DataFrame({"event_id": rows["event_id"], "allowed": [w == 0 for w in waits], "retry_after": waits})
+USED = "event_id long, allowed boolean, retry_after long"
+
+
+def _waits(rows: pd.DataFrame, allowance: Allowance) -> pd.DataFrame:
+    waits = [allowance.use(op, at, n) for op, at, n in rows[["op", "at", "n"]].itertuples(index=False)]
+    return pd.DataFrame({"event_id": rows["event_id"], "allowed": [w == 0 for w in waits], "retry_after": waits})
+
+
+def _walk(limit: int, seconds: int):
+    """Rows sorted by user, part and time, batch by batch; the last part of a batch may go on in the next one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, allowance = None, Allowance(limit, seconds)
+        for rows in batches:
+            waits = []
+            for part, op, at, n in rows[["part_id", "op", "at", "n"]].itertuples(index=False):
+                if part != now:
+                    now, allowance = part, Allowance(limit, seconds)
+                waits.append(allowance.use(op, at, n))
+            yield pd.DataFrame({"event_id": rows["event_id"], "allowed": [w == 0 for w in waits], "retry_after": waits})
 
     return run
 
@@ -60,12 +76,15 @@ def _used(limit: int, seconds: int):
 def limited(ops: DataFrame, limit: int = 3, seconds: int = 86_400) -> DataFrame:
     """event_id, allowed, retry_after for operations (event_id, user_id, at in microseconds, op, n) as Allowance.use() takes them.
 
-    After a pause of a whole window nothing that came before counts, so the operations between two pauses are folded for themselves.
+    After a pause of a whole window nothing that came before counts, so the operations between two pauses are folded for themselves: they are
+    dealt by user and part, sorted, and walked through in one call a partition. A part is known by its user and the operation that opens it.
     """
     order = Window.partitionBy("user_id").orderBy("at", "event_id")
     rows = ops.select("event_id", "user_id", "at", "op", "n", (F.col("at") - F.lag("at").over(order) >= seconds * 1_000_000).cast("int").alias("cut"))
-    rows = rows.withColumn("part", F.sum(F.coalesce("cut", F.lit(0))).over(order)).drop("cut")
-    return rows.groupBy("user_id", "part").applyInPandas(_used(limit, seconds), "event_id long, allowed boolean, retry_after long")
+    rows = rows.withColumn("part", F.sum(F.coalesce("cut", F.lit(0))).over(order))
+    rows = rows.withColumn("part_id", F.concat_ws(" ", F.coalesce(F.col("user_id").cast("string"), F.lit("-")), "part"))
+    rows = rows.repartition("part_id").sortWithinPartitions("part_id", "at", "event_id")
+    return rows.select("event_id", "part_id", "at", "op", "n").mapInPandas(_walk(limit, seconds), USED)
 
 
 def sliding_limiter(events: DataFrame, limit: int = 3, seconds: int = 86_400) -> DataFrame:
@@ -77,13 +96,12 @@ def limit_stream(ops: DataFrame, limit: int = 3, seconds: int = 86_400) -> DataF
     """limited() over a stream of operations; those of a user come in order of time from batch to batch."""
 
     def run(key: tuple, batches, state: GroupState):
-        rows = pd.concat(batches).sort_values(["at", "event_id"])
         allowance = Allowance(limit, seconds, list(state.get[0]) if state.exists else None)
-        waits = [allowance.use(op, at, n) for op, at, n in rows[["op", "at", "n"]].itertuples(index=False)]
+        out = _waits(pd.concat(batches).sort_values(["at", "event_id"]), allowance)
         state.update((list(allowance.taken),))
-        yield pd.DataFrame({"event_id": rows["event_id"], "allowed": [w == 0 for w in waits], "retry_after": waits})
+        yield out
 
-    return ops.groupBy("user_id").applyInPandasWithState(run, "event_id long, allowed boolean, retry_after long", "taken array<long>", "append", GroupStateTimeout.NoTimeout)
+    return ops.groupBy("user_id").applyInPandasWithState(run, USED, "taken array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def high_water(events: DataFrame) -> DataFrame:
