@@ -110,7 +110,8 @@ def test_cascade(spark):
     for c in asked:
         stage, page, match = policy(docs[c.doc_id], c.page, c.quote)
         r = got[c.doc_id, c.cite_id]
-        have = tuple(r.match) if r.match else None
+        have = tuple(r.match)[:5] if r.match else None
+        assert not r.match or r.match.matched == M.matched_text(docs[c.doc_id][page - 1], c.quote, match)
         assert (r.stage, r.found_page) == (stage, page), (c, r, stage, page, match)
         assert have == match or (have and match and have[0] == match[0] and abs(have[1] - match[1]) < 1e-9 and have[2:] == match[2:]), (c, have, match)
         stages.add(stage)
@@ -132,5 +133,42 @@ def test_nulls_and_empty_tables(spark):
     cites = spark.createDataFrame([(1, 1, 1, None, None), (1, 2, None, "some words here", None), (2, 1, 1, "x", "y")], "doc_id long, cite_id long, page long, quote string, claim string")
     pages = spark.createDataFrame([(1, 1, "some words here and there"), (1, 2, None)], "doc_id long, page long, text string")
     got = {(r.doc_id, r.cite_id): (r.method, r.source) for r in locate.resolve(cites, pages).collect()}
-    assert got == {(1, 1): ("page", "none"), (1, 2): ("exact", "model")}
+    assert got == {(1, 1): ("page", "none"), (1, 2): ("exact", "model"), (2, 1): ("page", "none")}
     assert locate.resolve(cites.limit(0), pages).count() == 0
+
+
+def test_every_row_comes_out_once(spark):
+    """Null and repeated ids, documents without pages, and other columns of any name."""
+    page = "Some words that a quote of this page has, and a few more of them."
+    rows = [(1, None, 1, "words that a quote"), (1, None, 1, "a few more"), (1, 7, 1, "words that a quote"), (1, 7, 1, "nothing like it"), (None, 7, 1, "words that a quote"), (3, 1, 5, "words that a quote")]
+    cites = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "doc_id long, cite_id long, page long, quote string, claim string, row string, hint_ string")
+    found = locate.locate(cites, spark.createDataFrame([(1, 1, page)], "doc_id long, page long, text string"))
+    assert sorted(((r.doc_id, r.cite_id, r.quote, r.stage, r.row) for r in found.collect()), key=repr) == sorted(
+        [(i, c, q, "hint" if i == 1 and q != "nothing like it" else "page", "y") for i, c, _, q in rows], key=repr
+    )
+    assert locate.resolve(cites, spark.createDataFrame([], "doc_id long, page long, text string")).count() == len(rows)
+
+
+def test_ligatures_far_off(spark):
+    """A page that writes a quote with ligatures is found wherever it is."""
+    quote = "efficient offices and final flights of fluffy fish"
+    odd = quote.replace("ffi", "ﬃ").replace("ff", "ﬀ").replace("fi", "ﬁ").replace("fl", "ﬂ")
+    rows = [(1, k, odd if k == 6 else f"page {k} with other words") for k in range(1, 8)]
+    cites = spark.createDataFrame([(1, 1, 1, quote), (1, 2, 6, quote)], "doc_id long, cite_id long, page long, quote string")
+    got = {r.cite_id: r for r in locate.locate(cites, spark.createDataFrame(rows, "doc_id long, page long, text string")).collect()}
+    assert (got[1].stage, got[1].found_page, got[1].match.method, got[1].match.matched) == ("document", 6, "exact", odd) and got[2].stage == "hint"
+
+
+def test_fuzzy_against_every_span(prose):
+    """No run of whole words scores better than the one that is found by more than a little."""
+    rng = random.Random(4)
+    score = lambda q, s: (c := common(q, s)) / len(q) * (c / len(s)) ** 0.5
+    for _ in range(6):
+        words = prose(34)
+        quote = words[9:23]
+        quote[rng.randrange(14)] = "other"
+        del quote[rng.randrange(13)]
+        found = M.fuzzy(M.Page(" ".join(words)), " ".join(quote))
+        q = M.squashed(" ".join(quote))
+        best = max(score(q, "".join(words[a:b])) for a in range(34) for b in range(a + 1, 35) if abs(len("".join(words[a:b])) - len(q)) < len(q))
+        assert found[1] >= best - 0.02

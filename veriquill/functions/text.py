@@ -24,6 +24,10 @@ def squash(text: Column) -> Column:
     return F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "[^\\p{L}\\p{N}]", "")
 
 
+#: Characters that no normal form changes, but for those that squash() drops; other texts are normalised in Python.
+SETTLED = "[\\x00-\\x7F\\u00C0-\\u0131\\u0134-\\u013E\\u0141-\\u0148\\u014A-\\u017E\\u2010-\\u201F\\u2026\\u20AC]*"
+
+
 def numbers(text: Column) -> Column:
     """Numbers of a text, without commas."""
     return F.transform(F.regexp_extract_all(text, F.lit(NUMBER), 0), lambda x: F.replace(x, F.lit(","), F.lit("")))
@@ -35,13 +39,6 @@ def claim_tokens(text: Column) -> Column:
     return F.transform(found, lambda x: F.when(x.rlike("^[0-9]"), F.replace(x, F.lit(","), F.lit(""))).otherwise(x))
 
 
-def token_weight(token: Column) -> Column:
-    """How much a token says about where its support is: amounts most, long words more, filler nothing."""
-    digits = F.length(F.regexp_replace(token, "[^0-9]", ""))
-    word = F.when(token.isin(STOP_WORDS) | (F.length(token) < 2), 0.0).otherwise(F.least(F.length(token), F.lit(10)) * 0.5)
-    return F.when(token.rlike("^[0-9]"), F.when(digits == 1, 2.0).otherwise(F.least(digits, F.lit(8)) + 4.0)).otherwise(word)
-
-
 def clean_text(text: Column) -> Column:
     """Newlines as LF, ligatures and odd spaces written out, control characters and trailing blanks gone, at most one empty line in a row."""
     text = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import STOP_WORDS, claim_tokens, numbers, squash
@@ -79,11 +83,57 @@ def section_nodes(pages: DataFrame, fan: int = 4) -> DataFrame:
     return levels[0].unionByName(levels[1]).unionByName(levels[2])
 
 
-def deepest_section(pages: DataFrame, nodes: DataFrame) -> DataFrame:
-    """doc_id, page, node_id: the section of each page; the one that starts there first, then the deepest, narrowest and latest."""
-    joined = pages.select("doc_id", "page").join(nodes, "doc_id").where(F.col("page").between(F.col("lo"), F.col("hi")))
-    rank = F.struct((F.col("lo") != F.col("page")).alias("a"), (-F.col("depth")).alias("b"), (F.col("hi") - F.col("lo")).alias("c"), (-F.col("lo")).alias("d"), F.col("node_id").alias("e"))
-    return joined.groupBy("doc_id", "page").agg(F.min_by("node_id", rank).alias("node_id"))
+#: Pages of one sorted run: long documents are swept in several.
+SPAN = 4096
+
+
+def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sections and pages of runs in order of their places; a section comes before the page that it starts on.
+
+    The sections that are open lie on a heap, the best one on top; those that have ended leave it when they come up.
+    """
+    now, heap, starting, at_page = None, [], [], None
+    for rows in batches:
+        out = []
+        for doc, span, at, kind, depth, lo, hi, node in rows.itertuples(index=False):
+            if (doc, span) != now:
+                now, heap, starting, at_page = (doc, span), [], [], None
+            if kind == 0:
+                if at_page != lo:
+                    starting, at_page = [], lo
+                entry = (-depth, hi - lo, -lo, node, hi)
+                starting.append(entry)
+                heapq.heappush(heap, entry)
+                continue
+            best = min(starting) if at_page == at else None
+            while best is None and heap:
+                if heap[0][4] >= at:
+                    best = heap[0]
+                else:
+                    heapq.heappop(heap)
+            if best:
+                out.append((doc, at, best[3]))
+        yield pd.DataFrame(out, columns=["doc_id", "page", "node"])
+
+
+def deepest_section(pages: DataFrame, nodes: DataFrame, name: str = "node_id") -> DataFrame:
+    """doc_id, page and the node (column `name`) of each page's section: one that starts there first, then the deepest, narrowest, latest and first by name.
+
+    Sections (doc_id, name, depth, lo, hi) without a range, or with one that runs backwards, are left out; pages without a section, too. Each
+    document is swept once in order of pages, SPAN pages at a time: a section that reaches over several runs takes part in each.
+    """
+    kind = nodes.schema[name].dataType.simpleString()
+    last = pages.groupBy("doc_id").agg(F.max("page").cast("long").alias("last"))
+    ranged = nodes.where((F.col("lo") <= F.col("hi")) & F.col("depth").isNotNull()).join(last, "doc_id").where(F.col("lo") <= F.col("last"))
+    run = lambda c: F.floor(F.greatest(c, F.lit(0)) / SPAN).cast("long")
+    span = F.explode(F.sequence(run(F.col("lo")), run(F.greatest("lo", F.least("hi", "last")))))
+    long = lambda c: F.col(c).cast("long").alias(c)
+    sections = ranged.select("doc_id", span.alias("span"), F.col("lo").cast("long").alias("at"), F.lit(0).alias("kind"), long("depth"), long("lo"), long("hi"), F.col(name).alias("node"))
+    none = [F.lit(-1).cast("long").alias(c) for c in ("depth", "lo", "hi")]
+    shown = pages.where("page is not null").select("doc_id", run(F.col("page")).alias("span"), F.col("page").cast("long").alias("at"), F.lit(1).alias("kind"), *none, F.lit(None).cast(kind).alias("node"))
+    stream = sections.unionByName(shown).repartition("doc_id", "span").sortWithinPartitions("doc_id", "span", "at", "kind")
+    doc = pages.schema["doc_id"].dataType.simpleString()
+    return stream.mapInPandas(_sweep, f"doc_id {doc}, page long, node {kind}").withColumnRenamed("node", name)
 
 
 def citations(messages: DataFrame, pages_per: int = 9) -> DataFrame:

@@ -2,39 +2,62 @@
 
 Cites are rows (doc_id, cite_id, page, quote) and maybe claim; they meet pages (doc_id, page, text) by equal document and page, so nothing is
 searched but the pages that a cite may mean. Exact quotes are found in columns; only what is left over goes to Python, in Arrow batches.
-Null quotes and pages are empty and found nowhere. A cited page beyond the document's is taken for the nearest one.
+Null quotes and texts are empty and found nowhere. A cited page beyond the document's is taken for the nearest one, no page for the last.
+Cites of documents without pages stay, and are found nowhere.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import matching
-from ..functions.text import numbers, squash
+from ..functions.text import SETTLED, numbers, squash
 from ..sources.shared import materialize
+from .evidence import BLOCK, blocks
 
-MATCH = "method string, score double, first_word int, last_word int, places int"
+MATCH = "method string, score double, first_word int, last_word int, places int, matched string"
 #: Methods that verify a quote, and the squashed characters from which a quote is searched in the whole document.
 VERIFIED = ("exact", "fuzzy", "fragments")
 WHOLE_DOCUMENT = 24
 
 
-def _matches(found: list[matching.Match | None]) -> pd.DataFrame:
-    rows = [f or (None,) * 5 for f in found]
-    out = pd.DataFrame(rows, columns=["method", "score", "first_word", "last_word", "places"])
+def _matches(find: Callable[[str, str], matching.Match | None], texts: pd.Series, wanted: pd.Series) -> pd.DataFrame:
+    rows = []
+    for text, want in zip(texts, wanted, strict=True):
+        found = find(text, want) if text is not None and want is not None else None
+        rows.append((*found, matching.matched_text(text, want, found)) if found else (None,) * 6)
+    out = pd.DataFrame(rows, columns=["method", "score", "first_word", "last_word", "places", "matched"])
     return out.astype({"score": "float64", "first_word": "Int32", "last_word": "Int32", "places": "Int32"})
 
 
+def _located(texts: pd.Series, quotes: pd.Series) -> pd.DataFrame:
+    return _matches(matching.locate, texts, quotes)
+
+
+def _aligned(texts: pd.Series, claims: pd.Series) -> pd.DataFrame:
+    return _matches(matching.align, texts, claims)
+
+
+def _normal_squash(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else matching.squashed(t) for t in texts], dtype=object)
+
+
 def located(text: Column, quote: Column) -> Column:
     """The best match of each quote; none where the text is null."""
-    find = lambda texts, quotes: _matches([matching.locate(t, q) if t is not None and q is not None else None for t, q in zip(texts, quotes, strict=True)])
-    return F.pandas_udf(find, MATCH, F.PandasUDFType.SCALAR)(text, quote)
+    return F.pandas_udf(_located, MATCH)(text, quote)
 
 
 def aligned(text: Column, claim: Column) -> Column:
-    find = lambda texts, claims: _matches([matching.align(t, c) if t is not None and c is not None else None for t, c in zip(texts, claims, strict=True)])
-    return F.pandas_udf(find, MATCH, F.PandasUDFType.SCALAR)(text, claim)
+    return F.pandas_udf(_aligned, MATCH)(text, claim)
+
+
+def full_squash(text: Column) -> Column:
+    """squash() after normal form KC: texts with characters that it may change are squashed in Python, the others in columns."""
+    odd = ~text.rlike(f"^{SETTLED}$")
+    return F.coalesce(F.pandas_udf(_normal_squash, "string")(F.when(odd, text)), squash(text))
 
 
 def exact_match(text: Column, quote: Column) -> Column:
@@ -80,6 +103,7 @@ def exact_match(text: Column, quote: Column) -> Column:
             F.get(b, F.lit(0)).first.alias("first_word"),
             F.get(b, F.lit(0)).last.alias("last_word"),
             F.least(F.size(b), F.lit(matching.MOST_PLACES)).alias("places"),
+            F.array_join(F.slice(split, F.get(b, F.lit(0)).first + 1, F.get(b, F.lit(0)).last - F.get(b, F.lit(0)).first + 1), " ").alias("matched"),
         ),
     )
     found = (F.length(q) >= matching.LEAST_QUOTE) & F.contains(squash(F.coalesce(text, F.lit(""))), q)
@@ -95,10 +119,15 @@ def with_match(rows: DataFrame, name: str, text: str, quote: str, where: Column
     return rows.withColumn(name, F.coalesce(name, F.when(F.col("_rest.method").isNotNull(), F.col("_rest")))).drop("_rest")
 
 
+def known_pages(pages: DataFrame) -> DataFrame:
+    """doc_id, page, text and squashed text (s), worked out and written once for all searches."""
+    return materialize(pages.select("doc_id", "page", "text", full_squash(F.col("text")).alias("s")))
+
+
 def _cited(cites: DataFrame, pages: DataFrame) -> DataFrame:
-    """cites with their number of pages (n_pages) and the page that each means (hint)."""
+    """cites with their number of pages (n_pages), null for a document without pages, and the page that each means (hint)."""
     sizes = pages.groupBy("doc_id").agg(F.max("page").alias("n_pages"))
-    return cites.join(sizes, "doc_id").withColumn("hint", F.greatest(F.lit(1), F.least("page", "n_pages")).cast("long"))
+    return cites.join(sizes, "doc_id", "left").withColumn("hint", F.greatest(F.lit(1), F.least("page", "n_pages")).cast("long"))
 
 
 def _page(pages: DataFrame, name: str, text: str) -> DataFrame:
@@ -120,32 +149,39 @@ def verified(match: str) -> Column:
 
 
 def locate(cites: DataFrame, pages: DataFrame, neighbours: int = 1) -> DataFrame:
-    """cites with found_page, stage and match: the cited page if the quote is verified there, else the nearest neighbour that verifies it
-    (the earlier of two), else the nearest page of the document that holds it letter by letter, else what the cited page has, or nothing."""
-    rows = locate_on_page(cites, pages)
+    """cites with n_pages, hint, text, found_page, stage and match: the cited page if the quote is verified there, else the nearest neighbour
+    that verifies it (the earlier of two), else the nearest page of the document that holds it letter by letter, else what the cited page
+    has, or nothing. Each row of cites comes out once, whatever its ids; pages have one row for each document and number."""
+    pages = known_pages(pages)
+    numbered = materialize(cites.select(F.monotonically_increasing_id().alias("row"), F.struct(*cites.columns).alias("cite"), "doc_id", "page", "quote"))
+    rows = materialize(locate_on_page(numbered, pages))
+    lost = rows.where(~verified("here"))
     steps = [F.struct(F.lit(2 * d - (sign < 0)).alias("turn"), (F.col("hint") + sign * d).alias("near")) for d in range(1, neighbours + 1) for sign in (-1, 1)]
-    probes = F.when(~verified("here"), F.filter(F.array(*steps), lambda s: s.near.between(1, F.col("n_pages"))))
-    near = rows.select("*", F.inline_outer(probes)).join(_page(pages, "near", "near_text"), ["doc_id", "near"], "left")
-    near = with_match(near, "there", "near_text", "quote", F.col("near").isNotNull())
-    keep = [c for c in rows.columns if c not in ("doc_id", "cite_id")]
-    near = near.groupBy("doc_id", "cite_id").agg(*[F.first(c).alias(c) for c in keep], F.min_by(F.when(verified("there"), F.struct("near", "there")), F.when(verified("there"), F.col("turn"))).alias("close"))
-    near = materialize(near)
-    lost = ~verified("here") & F.col("close").isNull() & (F.length(squash(F.col("quote"))) >= WHOLE_DOCUMENT)
-    far = near.where(lost).select("doc_id", "cite_id", "quote", "hint").join(_page(pages, "far", "far_text"), "doc_id")
-    far = far.where(F.contains(squash(F.col("far_text")), squash(F.col("quote")))).withColumn("found", exact_match(F.col("far_text"), F.col("quote")))
-    far = far.where("found is not null").groupBy("doc_id", "cite_id").agg(F.min_by(F.struct("far", "found"), F.struct(F.abs(F.col("far") - F.col("hint")), "far")).alias("away"))
-    out = near.join(far, ["doc_id", "cite_id"], "left")
+    probes = lost.select("row", "doc_id", "quote", "n_pages", F.inline(F.array(*steps))).where(F.col("near").between(1, F.col("n_pages")))
+    probes = with_match(probes.join(_page(pages, "near", "near_text"), ["doc_id", "near"]), "there", "near_text", "quote")
+    # matches are told apart in the aggregates: a filter on them would be pushed into the joins below, where no Python runs
+    near = materialize(probes.groupBy("row").agg(F.min_by(F.struct("near", "there"), F.when(verified("there"), F.col("turn"))).alias("close")).where("close is not null"))
+    # what is still lost meets the pages of its document that share a block with it
+    far = lost.join(near, "row", "left_anti").select("row", "doc_id", "hint", "quote", full_squash(F.col("quote")).alias("q")).where(F.length("q") >= WHOLE_DOCUMENT)
+    grams = far.select("row", "doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("q") - BLOCK + 1), lambda i: F.substr("q", i, F.lit(BLOCK))))).alias("gram"))
+    held = pages.join(far.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "page", F.explode(F.array_distinct(blocks(F.col("s")))).alias("gram"))
+    held = held.join(grams, ["doc_id", "gram"]).select("row", "doc_id", "page").distinct().join(far.drop("doc_id"), "row")
+    held = held.join(pages, ["doc_id", "page"]).where(F.contains("s", "q"))
+    held = with_match(held, "found", "text", "quote")
+    nearest = F.when(verified("found"), F.struct(F.abs(F.col("page") - F.col("hint")), "page"))
+    away = held.groupBy("row").agg(F.min_by(F.struct(F.col("page").alias("far"), "found"), nearest).alias("away")).where("away is not null")
+    out = rows.join(near, "row", "left").join(away, "row", "left")
     stage = F.when(verified("here"), "hint").when(F.col("close").isNotNull(), "near").when(F.col("away").isNotNull(), "document").when(F.col("here").isNotNull(), "area").otherwise("page")
     match = F.when(verified("here"), F.col("here")).otherwise(F.coalesce("close.there", "away.found", "here"))
     found = F.when(verified("here"), F.col("hint")).otherwise(F.coalesce("close.near", "away.far", "hint"))
-    extra = [c for c in cites.columns if c not in ("doc_id", "cite_id")]
-    return out.select("doc_id", "cite_id", *extra, "n_pages", "hint", "text", found.alias("found_page"), stage.alias("stage"), match.alias("match"))
+    return out.select("cite.*", "n_pages", "hint", "text", found.alias("found_page"), stage.alias("stage"), match.alias("match"))
 
 
 def resolve(cites: DataFrame, pages: DataFrame) -> DataFrame:
-    """doc_id, cite_id, page, method, score, source, first_word, last_word for cites with a quote and a claim.
+    """doc_id, cite_id, page, method, score, source, first_word, last_word, matched for cites with a quote and a claim, one row each.
 
-    A verified quote comes from the model; else the claim may be aligned with the cited page; else an area of the page is shown, else the page.
+    A verified quote comes from the model; else the claim may be aligned with the cited page; else an area of the page is shown, else the
+    page. matched is the page's text that is shown.
     """
     rows = locate(cites, pages)
     sure = F.col("stage").isin("hint", "near", "document")
@@ -162,4 +198,5 @@ def resolve(cites: DataFrame, pages: DataFrame) -> DataFrame:
         pick(F.lit("model"), F.lit("aligned"), F.lit("none")).alias("source"),
         field("first_word").alias("first_word"),
         field("last_word").alias("last_word"),
+        field("matched").alias("matched"),
     )

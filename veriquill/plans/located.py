@@ -42,7 +42,7 @@ def quote_locate_neighbour(spark, d):
 
 @query()
 def cite_resolve(spark, d):
-    return locate.resolve(S.cites(spark, d), S.pages(spark, d)).drop("cite_id")
+    return locate.resolve(S.cites(spark, d), S.pages(spark, d)).drop("cite_id", "matched")
 
 
 @query()
