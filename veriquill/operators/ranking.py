@@ -12,6 +12,30 @@ IN_TITLE, IN_KEYS, IN_SUMMARY, PHRASE, LEAST_SHARE, FIGURE = 2.0, 1.5, 1.0, 0.25
 MOST_PAGES = 4
 
 
+def _node_terms(asked: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
+    """by, node_id, term, worth: the terms of nodes that questions (by, question_id, seq) of their outline have; a term counts where it is worth most."""
+    places = F.array(*[F.struct(F.array_distinct(terms(F.col(c))).alias("held"), F.lit(w).alias("worth")) for c, w in (("title", IN_TITLE), ("keys", IN_KEYS), ("summary", IN_SUMMARY))])
+    known = asked.select(*by, F.explode("seq").alias("term")).distinct()
+    where = nodes.select(*by, "node_id", F.inline(places)).select(*by, "node_id", F.explode("held").alias("term"), "worth").join(known, [*by, "term"])
+    return where.groupBy(*by, "node_id", "term").agg(F.max("worth").alias("worth"))
+
+
+def question_weights(asked: DataFrame, nodes: DataFrame, outline: tuple[str, ...] = (), held: DataFrame | None = None) -> DataFrame:
+    """by, question_id, term, w: how much each term of a question (outline's columns, question_id, seq) says among the nodes of its outline.
+
+    Terms weigh more the fewer nodes have them, figures less. An outline without nodes counts as one of one node.
+    """
+    by = list(outline)
+    held = _node_terms(asked, nodes, by) if held is None else held
+    asked_terms = asked.select(*by, "question_id", F.explode(F.array_distinct("seq")).alias("term"))
+    sizes = nodes.groupBy(*by).agg(F.count("*").alias("n_nodes"))
+    counts = asked_terms.select(*by, "term").distinct().join(held.groupBy(*by, "term").agg(F.count("*").alias("df")), [*by, "term"], "left")
+    counts = counts.join(sizes, by, "left") if by else counts.crossJoin(F.broadcast(sizes))
+    share = F.greatest(F.coalesce("n_nodes", F.lit(1)), F.lit(1)) / (F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)) + 1)
+    weight = F.log1p(share) * F.when(F.col("term").rlike("^[0-9]"), FIGURE).otherwise(1.0)
+    return asked_terms.join(counts.select(*by, "term", weight.alias("w")), [*by, "term"])
+
+
 def rank_nodes(questions: DataFrame, nodes: DataFrame, outline: tuple[str, ...] = ()) -> DataFrame:
     """question_id, node_id, score, rank (and the outline's columns) for questions (question_id, text) and nodes (node_id, title, keys, summary, lo, hi; keys is text).
 
@@ -21,20 +45,11 @@ def rank_nodes(questions: DataFrame, nodes: DataFrame, outline: tuple[str, ...]
     start earlier.
     """
     by = list(outline)
-    asked = questions.select(*by, "question_id", content_terms(F.col("text")).alias("seq"))
-    asked_terms = materialize(asked.select(*by, "question_id", F.explode(F.array_distinct("seq")).alias("term")))
-    known_terms = asked_terms.select(*by, "term").distinct()
+    asked = materialize(questions.select(*by, "question_id", content_terms(F.col("text")).alias("seq")))
     asked_pairs = asked.select(*by, "question_id", F.explode(pairs(F.col("seq"))).alias("pair"))
-    # each node's terms are worked out once; only those that a question has are kept
-    places = F.array(*[F.struct(F.array_distinct(terms(F.col(c))).alias("held"), F.lit(w).alias("worth")) for c, w in (("title", IN_TITLE), ("keys", IN_KEYS), ("summary", IN_SUMMARY))])
-    where = nodes.select(*by, "node_id", F.inline(places)).select(*by, "node_id", F.explode("held").alias("term"), "worth").join(known_terms, [*by, "term"])
-    held = materialize(where.groupBy(*by, "node_id", "term").agg(F.max("worth").alias("worth")))
-    sizes = nodes.groupBy(*by).agg(F.count("*").alias("n_nodes"))
-    counts = known_terms.join(held.groupBy(*by, "term").agg(F.count("*").alias("df")), [*by, "term"], "left")
-    counts = counts.join(sizes, by, "left") if by else counts.crossJoin(F.broadcast(sizes))
-    weight = F.log1p(F.col("n_nodes") / (F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)) + 1)) * F.when(F.col("term").rlike("^[0-9]"), FIGURE).otherwise(1.0)
-    weights = materialize(counts.where("n_nodes is not null").select(*by, "term", weight.alias("w")))
-    weighed = asked_terms.join(weights, [*by, "term"])
+    held = materialize(_node_terms(asked, nodes, by))
+    weighed = materialize(question_weights(asked, nodes, outline, held))
+    weights = weighed.select(*by, "term", "w").distinct()
     sums = weighed.groupBy(*by, "question_id").agg(F.sum("w").alias("all"))
     base = weighed.join(held, [*by, "term"]).groupBy(*by, "question_id", "node_id").agg(F.sum(F.col("w") * F.col("worth")).alias("base"))
     node_pairs = nodes.select(*by, "node_id", F.explode(pairs(content_terms(F.concat_ws(" ", "title", "keys", "summary")))).alias("pair"))

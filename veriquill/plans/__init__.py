@@ -1,3 +1,3 @@
 
 
-from . import queries, records, located, kept  # noqa: E402, F401, I001
+from . import queries, records, located, kept, outlined  # noqa: E402, F401, I001
