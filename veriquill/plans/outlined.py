@@ -8,6 +8,7 @@ from ..functions import terms as W
 from ..operators import answers, evidence, outline, ranking, support
 from ..sources import tables as S
 from ..sources.shared import materialize
+from ..streaming import transcripts
 from .registry import query
 
 #: The reports of sources.tables.report_pages in SQL, without their text, and the nodes of their outlines.
@@ -116,3 +117,9 @@ def answer_citations(spark, d):
 @query()
 def answer_page_sources(spark, d):
     return answers.sources(_citations(spark, d)).select("answer_id", "page", "printed_page", "refs", "citation_ids", F.array_join("section_path", " > ").alias("section"))
+
+
+@query()
+def run_shown(spark, d):
+    """Steps, text and cites of runs as a reader sees them while they go on."""
+    return transcripts.shown(S.run_events(spark, d)).select("answer_id", "seq", "place", "kind", "step", "label", "pages", "elapsed_ms", F.md5("text").alias("text"), "n", "page", F.md5("quote").alias("quote"), F.md5("claim").alias("claim"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -100,6 +100,28 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("answer_id"), raw.alias("raw"), "most_pages")
 
 
+def run_events(spark: SparkSession, folder: str) -> DataFrame:
+    """answer_id, seq, ts, at, kind, call_id, tool, pages, piece, most_pages: how each of answers() came about. Even ones have calls with results, a
+    word on the way to them and the answer in five pieces; odd ones have items that appear and calls that have run. Every seventh has no end."""
+    raw = answers(spark, folder)
+    cut = lambda k: F.substring("raw", F.floor(F.length("raw") * k / 5).cast("int") + 1, (F.floor(F.length("raw") * (k + 1) / 5) - F.floor(F.length("raw") * k / 5)).cast("int"))
+
+    def event(kind: str, at: int, call_id: str = "", tool: str = "", pages: Column | None = None, piece: Column | str = "") -> Column:
+        piece = piece if isinstance(piece, Column) else F.lit(piece)
+        made = F.array().cast("array<int>") if pages is None else pages.cast("array<int>")
+        return F.struct(F.lit(at).cast("long").alias("after"), F.lit(kind).alias("kind"), F.lit(call_id).alias("call_id"), F.lit(tool).alias("tool"), made.alias("pages"), piece.alias("piece"))
+
+    page, read = (F.col("answer_id") % 7 + 1).cast("int"), "get_page_content"
+    got = F.when(F.col("answer_id") % 3 == 0, F.lit(None)).otherwise(F.array(page, page + 1))
+    text = lambda at: [event("text", at + 40 * k, piece=cut(k)) for k in range(5)]
+    even = [event("start", 0), event("text", 300, piece="Let me look. "), event("call", 500, "c1", "get_document_structure"), event("result", 900, "c1"), event("call", 1500, "c2", read, F.array(page, page + 1)), event("call", 1520, "c3", "search", None), event("result", 1900, "c2", pages=got), event("result", 2000, "c3"), *text(2600)]
+    odd = [event("start", 0), event("added", 200, "i1", "reasoning"), event("added", 400, "i2", "function_call"), event("called", 450, "c1", read, F.array(page), "i2"), event("added", 500, "i3", "function_call"), event("called", 520, "c2", "get_document", None, "i3"), event("added", 900, "i4", "message"), *text(950)]
+    events = raw.select("answer_id", "most_pages", F.posexplode(F.when(F.col("answer_id") % 2 == 0, F.array(*even, event("end", 3000))).otherwise(F.array(*odd, event("end", 3000)))).alias("seq", "e"))
+    events = events.where((F.col("answer_id") % 7 != 5) | (F.col("e.kind") != "end"))
+    at = F.col("answer_id") * 1000 + F.col("e.after") + 1_750_000_000_000
+    return events.select("answer_id", F.col("seq").cast("long").alias("seq"), F.timestamp_millis(at).alias("ts"), at.alias("at"), "e.kind", "e.call_id", "e.tool", "e.pages", "e.piece", F.col("most_pages").cast("long").alias("most_pages"))
+
+
 def numbered_pages(spark: SparkSession, folder: str) -> DataFrame:
     """pages with printed numbers at their end: the first two in roman numerals, the others from 1; every fifth page has none."""
     p = pages(spark, folder)
