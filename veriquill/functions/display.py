@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Names that Windows keeps for devices, the longest names, units of sizes in MiB.
 RESERVED = ["con", "prn", "aux", "nul", *(f"{d}{k}" for d in ("com", "lpt") for k in range(1, 10))]
-LONGEST_NAME, LONGEST_TITLE = 80, 120
+LONGEST_NAME, LONGEST_TITLE, LONGEST_SHOWN, LONGEST_SAFE = 80, 120, 255, 150
 IN_MIB = {"B": 1 / 1048576, "KiB": 1 / 1024, "kB": 1 / 1024, "MiB": 1.0, "MB": 1.0, "GiB": 1024.0, "GB": 1024.0}
 
 
@@ -68,13 +71,45 @@ def clean_title(text: Column) -> Column:
     return F.substring(F.trim(F.regexp_replace(text, "[\\x00-\\x20\\x7F]+", " ")), 1, LONGEST_TITLE)
 
 
-def slug(name: Column) -> Column:
-    """A storage name of letters, digits, _ and - that ends in .pdf; characters beyond ASCII are left out, other runs become _."""
-    stem = F.regexp_replace(F.regexp_extract(F.coalesce(name, F.lit("")), "([^\\\\/]*)$", 1), "(?i)\\.pdf$", "")
+def _plain_letters(names: pd.Series) -> pd.Series:
+    return pd.Series([None if n is None else unicodedata.normalize("NFKD", n).encode("ascii", "ignore").decode() for n in names], dtype=object)
+
+
+def ascii_letters(text: Column) -> Column:
+    """Letters without their accents, ligatures taken apart; what is then not ASCII goes. Only texts with such characters go to Python."""
+    odd = text.rlike("[^\\x00-\\x7F]")
+    return F.when(odd, F.pandas_udf(_plain_letters, "string")(F.when(odd, text))).otherwise(text)
+
+
+def base_name(name: Column) -> Column:
+    return F.regexp_extract(F.coalesce(name, F.lit("")), "([^\\\\/]*)$", 1)
+
+
+def stem_of(name: Column) -> Column:
+    """A storage name's stem of letters, digits, _ and -; accents go, other runs become _."""
     edges = lambda s: F.btrim(s, F.lit("_-"))
-    stem = edges(F.substring(edges(F.regexp_replace(F.regexp_replace(stem, "[^\\x00-\\x7F]", ""), "[^A-Za-z0-9_-]+", "_")), 1, LONGEST_NAME - 4))
-    stem = F.when(stem == "", "report").when(F.lower(stem).isin(RESERVED), F.concat(F.lit("doc_"), stem)).otherwise(stem)
-    return F.concat(stem, F.lit(".pdf"))
+    stem = F.regexp_replace(ascii_letters(F.regexp_replace(base_name(name), "(?i)\\.pdf$", "")), "[^A-Za-z0-9_-]+", "_")
+    stem = edges(F.substring(edges(stem), 1, LONGEST_NAME - 4))
+    return F.when(stem == "", "report").when(F.lower(stem).isin(RESERVED), F.concat(F.lit("doc_"), stem)).otherwise(stem)
+
+
+def slug(name: Column) -> Column:
+    """A storage name that ends in .pdf."""
+    return F.concat(stem_of(name), F.lit(".pdf"))
+
+
+def shown_name(name: Column, instead: Column) -> Column:
+    """A file's own name, control characters and runs of blanks as one blank; instead of nothing, the other name."""
+    told = F.substring(F.trim(F.regexp_replace(F.regexp_replace(base_name(name), "[\\x00-\\x1f\\x7f]", " "), "\\s+", " ")), 1, LONGEST_SHOWN)
+    return F.when(told == "", instead).otherwise(told)
+
+
+def safe_name(name: Column) -> Column:
+    """A file's name without folders, control characters and signs that file systems refuse, ending in .pdf."""
+    own = F.regexp_replace(F.regexp_replace(base_name(name), "[\\x00-\\x1f\\x7f]", ""), '[<>:"|?*]', "_")
+    stem = F.btrim(F.regexp_replace(own, "(?i)\\.pdf$", ""), F.lit(" ."))
+    stem = F.rtrim(F.substring(stem, 1, LONGEST_SAFE - 4), F.lit(" ."))
+    return F.concat(F.when(stem == "", "report").otherwise(stem), F.lit(".pdf"))
 
 
 def mib(text: Column) -> Column:
@@ -88,8 +123,3 @@ def score(value: Column) -> Column:
     """A loose number in 0 to 1 with four places; null for what is none, NaN or infinite."""
     v = value.try_cast("double")
     return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), None).otherwise(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), v)), 4))
-
-
-def grid(rects: Column) -> Column:
-    """Boxes from 0 to 1 on a grid of 1000."""
-    return F.transform(rects, lambda r: F.transform(r, lambda x: F.bround(x * 1000).cast("int")))

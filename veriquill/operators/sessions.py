@@ -37,13 +37,19 @@ def append_messages(messages: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def update_fields(rows: DataFrame, key: str, changes: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """rows with the fields that changes (key and some of them) give, where they are not null; a field that rows do not have is an error."""
-    unknown = set(changes.columns) - {key, *fields} | set(fields) - set(rows.columns)
+    """rows with the fields that changes (key and some of them) give; a field that rows do not have is an error.
+
+    With a column `named` (array<string>) in changes, those fields are set, to null too; without it, all that are not null.
+    """
+    named = "named" in changes.columns
+    changes = changes if named else changes.withColumn("named", F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in changes.columns if c != key] or [F.lit(None).cast("string")]), lambda c: c.isNotNull()))
+    unknown = set(changes.columns) - {key, "named", *fields} | set(fields) - set(rows.columns)
     if unknown:
         raise ValueError(f"no such fields: {sorted(unknown)}")
     new = changes.select(key, F.struct(*[c for c in changes.columns if c != key]).alias("_new"))
     joined = rows.join(new, key, "left")
-    return joined.select(*[F.coalesce(f"_new.{c}", c).alias(c) if c in changes.columns and c != key else F.col(c) for c in rows.columns])
+    given = lambda c: F.coalesce(F.array_contains("_new.named", c), F.lit(False))
+    return joined.select(*[F.when(given(c), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in changes.columns and c != key else F.col(c) for c in rows.columns])
 
 
 def export_chats(messages: DataFrame) -> DataFrame:

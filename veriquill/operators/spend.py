@@ -37,17 +37,23 @@ def usage_events(events: DataFrame) -> DataFrame:
 
 
 def with_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """event_id, model, cost_usd: null for unknown models; dated snapshots cost what their model does."""
+    """event_id, user_id, model, cost_usd: null for unknown models; dated snapshots cost what their model does.
+
+    usage may have cache_write_tokens, part of the input that is written to the cache at a price of its own, and requests: of how many prompts
+    the input is the sum. The surcharge for long prompts goes by the size of one. Without them all input is one prompt and none is written.
+    """
     name = F.regexp_replace(F.trim("model"), "^openai/", "")
     alias = F.regexp_replace(name, "-(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{8})$", "")
     kinds = [c for c in prices.columns if c != "model"]
     exact = prices.select(F.col("model").alias("m1"), F.struct(*kinds).alias("p1"))
     dated = prices.select(F.col("model").alias("m2"), F.struct(*kinds).alias("p2"))
+    given = lambda c, none: F.coalesce(c, F.lit(none)) if c in usage.columns else F.lit(none)
     rows = usage.withColumn("name", name).withColumn("alias", alias)
     rows = rows.join(F.broadcast(exact), F.col("name") == F.col("m1"), "left").join(F.broadcast(dated), F.col("alias") == F.col("m2"), "left").withColumn("p", F.coalesce("p1", "p2"))
     cached = F.least(F.greatest("cached_tokens", F.lit(0)), "input_tokens")
-    long = F.col("p.surcharged") & (F.col("input_tokens") > LONG_PROMPT)
-    paid_in = (F.col("input_tokens") - cached) * F.col("p.input") + cached * F.col("p.cached")
+    written = F.least(F.greatest(given("cache_write_tokens", 0), F.lit(0)), F.col("input_tokens") - cached)
+    long = F.col("p.surcharged") & (F.floor(F.col("input_tokens") / F.greatest(F.lit(1), given("requests", 1))) > LONG_PROMPT)
+    paid_in = (F.col("input_tokens") - cached - written) * F.col("p.input") + cached * F.col("p.cached") + written * F.coalesce("p.cache_write", "p.input")
     paid_out = F.greatest("output_tokens", F.lit(0)) * F.col("p.output")
     cost = (paid_in * F.when(long, INPUT_FACTOR).otherwise(1.0) + paid_out * F.when(long, OUTPUT_FACTOR).otherwise(1.0)) / 1_000_000
     return rows.select("event_id", "user_id", "model", F.round(cost, 8).alias("cost_usd"))
@@ -80,9 +86,9 @@ def longest_prefix(usage: DataFrame, prices: DataFrame) -> DataFrame:
     return models.join(names, hit, "left").groupBy("model").agg(F.max_by("known", F.length("known")).alias("priced_as"))
 
 
-def meter(usage: DataFrame, costs: DataFrame) -> DataFrame:
-    """Calls, tokens and cost of each model; complete only if every call has a price."""
+def meter(usage: DataFrame, costs: DataFrame, by: tuple[str, ...] = ("model",)) -> DataFrame:
+    """Calls, tokens and cost of each model, or of what `by` names (stage and model); complete only if every call has a price."""
     rows = usage.join(costs.select("event_id", "cost_usd"), "event_id")
-    return rows.groupBy("model").agg(
+    return rows.groupBy(*by).agg(
         F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.sum("cost_usd"), 5).alias("usd"), F.bool_and(F.col("cost_usd").isNotNull()).alias("usd_complete")
     )
