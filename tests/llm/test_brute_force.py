@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -151,6 +152,51 @@ def test_license_diagonals(spark):
     assert got[0] == ("mit", 1.0) and got[1][0] == "mit" and 0.6 <= got[1][1] < 1 and got[2] == ("", 0.0) and got[3] == ("", 0.0)
 
 
+def test_whole_licenses_and_given_templates(spark):
+    """Every template scores as itself and as no other license; a table of long texts serves as well, joined by a shuffle too."""
+    texts = list(licenses.TEMPLATES.items())
+    df = spark.createDataFrame([(k, f"some words before. {t.capitalize()}, and after") for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(df).collect()}
+    for k, (name, _) in enumerate(texts):
+        label = name.split(":")[0]
+        assert got[k] == (label, 1.0) or (name == "gpl" and got[k][0] == "gpl") or (name == "apache" and got[k][0] == "apache")
+    rng = random.Random(4)
+    long = {f"own:{k}": " ".join(rng.choice(("alpha", "beta", "gamma", "delta", "eps", "zeta", "eta")) + str(rng.randrange(40)) for _ in range(3000)) for k in range(3)}
+    body = long["own:1"].split()
+    mine = spark.createDataFrame([(1, " ".join(body[:2100])), (2, " ".join(body[:1500])), (3, "a b"), (4, None)], "doc_id long, text string")
+    table_of = licenses.template_table(spark, {**long, "short": "a b"})
+    for few in (licenses.BROADCAST_GRAMS, 0):
+        licenses.BROADCAST_GRAMS, kept = few, licenses.BROADCAST_GRAMS
+        try:
+            out = {r.doc_id: (r.labels, round(r.score, 3)) for r in licenses.scan(mine, table_of).collect()}
+        finally:
+            licenses.BROADCAST_GRAMS = kept
+        assert out == {1: ("own", 0.7), 2: ("", 0.0), 3: ("", 0.0), 4: ("", 0.0)}
+
+
+def test_lines_of_rows_without_an_id(spark):
+    """Of rows without an id that share a line one keeps it; any row with an id comes before them."""
+    line = "a line that many rows have in common"
+    rows = [(None, f"{line}\nown words {k} here") for k in range(7)]
+    for more in ([], [(3, line)]):
+        out = line_templates.without_recurring_lines(spark.createDataFrame([*rows, *more], "doc_id long, text string")).collect()
+        kept = [r.doc_id for r in out if line in (r.kept_text or "")]
+        assert kept == ([3] if more else [None])
+
+
+def test_word_memory(monkeypatch):
+    """Two generations of words and pieces give the ids that one memory of all gives."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "REMEMBERED", 12)
+    path = vocabulary("word_bpe_49k.json")
+    mine, library, rng = bpe.WordBpe(path), Tokenizer.from_file(path), random.Random(2)
+    bag = "some words of all kinds, é “odd” ones; 12,345 x.y I'm Über 日本".split() + [f"w{k}" for k in range(30)]
+    for _ in range(120):
+        texts = [" ".join(rng.choice(bag) for _ in range(rng.randrange(9))) for _ in range(3)]
+        assert [ids for ids, _, _ in mine.encode(texts)] == [" ".join(map(str, library.encode(t, add_special_tokens=False).ids)) for t in texts]
+
+
 def test_token_files(spark, docs):
     from tokenizers import Tokenizer
 

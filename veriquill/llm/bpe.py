@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from .token_files import BYTE_CHARS
 
 #: Distinct words and blank-separated pieces that a task remembers.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Texts of these characters are normal forms, and lower() and this pattern give what the vocabulary's own normaliser and pre-tokeniser do.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7E\xA1-\xAC\xAE-\u012F\u0132-\u024F\u2010-\u2027\u2030-\u205E]*")
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -75,6 +75,8 @@ class WordBpe:
             self.reach[body[:2]] = max(self.reach.get(body[:2], 1), len(body))
         self.words: dict[str, tuple[str, int, str]] = {}
         self.pieces: dict[str, tuple[str, int, str]] = {}
+        # what was remembered before: whatever of it comes again is kept
+        self.older_words, self.older_pieces = self.words, self.pieces
         self.merged_words = 0
 
     def _symbols(self, token: str) -> list[str]:
@@ -180,11 +182,13 @@ class WordBpe:
     def encode(self, texts: list[str]) -> list[tuple[str, int, str]]:
         """(ids as text, number of ids, decoded text) of each text."""
         if len(self.words) + len(self.pieces) > REMEMBERED:
-            self.words.clear()
-            self.pieces.clear()
+            self.older_words, self.older_pieces, self.words, self.pieces = self.words, self.pieces, {}, {}
         split = [(text.lower().split(), self.pieces) if PLAIN.fullmatch(text) and not any(s in text for s in self.added) else (self._split(text), self.words) for text in texts]
-        new = {p: WORD.findall(p) for pieces, known in split if known is self.pieces for p in set(pieces) if p not in known}
+        unknown = {p for pieces, known in split if known is self.pieces for p in set(pieces) if p not in known}
+        self.pieces |= {p: self.older_pieces[p] for p in unknown if p in self.older_pieces}
+        new = {p: WORD.findall(p) for p in unknown if p not in self.pieces}
         words = {w for ws in new.values() for w in ws} | {w for ws, known in split if known is self.words for w in ws}
+        self.words |= {w: self.older_words[w] for w in words if w not in self.words and w in self.older_words}
         if words := [w for w in words if w not in self.words]:
             self.learn(words)
         self.pieces |= {p: self._joined([self.words[w] for w in ws]) for p, ws in new.items()}

@@ -12,7 +12,7 @@ word: its lines go from all documents but the first (the smallest doc_id), so on
 Lines and leaves are told apart by 128 and 64 bits of hash; lines of one leaf are compared token by token.
 
 Defined results: null and empty texts have no line to lose. Each row comes out once; repeated rows count as one document and lose the same
-lines. Rows without an id come after all others. Ties between tokens go to the greater one, between places to the first. No documents give
+lines. Rows without an id come after all others, by a hash of their text. Ties between tokens go to the greater one, between places to the first. No documents give
 no rows. Other columns of docs stay as they are, whatever their names.
 """
 
@@ -26,7 +26,7 @@ from .words_sql import with_key
 DEPTH, SIMILAR, MIN_DOCS = 3, 70, 5
 LONG_TOKENS, LONG_DOCS = 50, 2
 VARIABLE = "<*>"
-#: Leaves that several documents share, parts of them, and recurring templates are broadcast up to this number (some 16 bytes each), joined by a shuffle beyond it.
+#: Leaves that several documents share, parts of them, and recurring templates are broadcast up to this number (some 40 bytes each), joined by a shuffle beyond it.
 BROADCAST_KEYS = 1_000_000
 
 
@@ -101,9 +101,10 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     keys = F.when(F.col("node").isNull(), F.array(exact)).when(long, F.array(exact, family)).otherwise(F.array(family))
     rows = materialize(rows.select("doc_id", "th", "at", F.inline(keys)))
     drop_table(lines)
-    holders = rows.groupBy("k1", "k2", "least", "doc_id", "th").agg(F.lit(1).alias("one")).groupBy("k1", "k2", "least").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
+    holders = rows.groupBy("k1", "k2", "least", "doc_id", "th").agg(F.lit(1).alias("one")).groupBy("k1", "k2", "least").agg(F.count("*").alias("docs"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
     recurring = _few(holders.where("docs >= least").select("k1", "k2", "first"))
-    return rows.join(recurring, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "th", "at")
+    keeps = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("doc_id").isNotNull() | (F.col("th") == F.col("first.th")))
+    return rows.join(recurring, ["k1", "k2"]).where(~keeps).select("doc_id", "th", "at")
 
 
 def _with_gone(docs: DataFrame) -> tuple[DataFrame, Column]:

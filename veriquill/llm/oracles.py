@@ -81,7 +81,7 @@ o AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w <= {licenses.BAND} THE
 m AS (SELECT doc_id, label, diagonal, sum(new) OVER (PARTITION BY doc_id, label ORDER BY diagonal) AS part FROM o),
 c AS (SELECT doc_id, label, n, part, t + unnest(range(0, {_G})) AS word FROM v JOIN m USING (doc_id, label, diagonal)),
 s AS (SELECT doc_id, label, count(DISTINCT word)::DOUBLE / n AS score FROM c GROUP BY doc_id, label, n, part HAVING count(DISTINCT word)::DOUBLE / n >= {licenses.COVER}::DOUBLE),
-more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(score) AS best FROM s GROUP BY doc_id)
+more AS (SELECT doc_id, list(DISTINCT string_split(label, ':')[1]) AS labels, max(score) AS best FROM s GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(b.n, 0) AS n_base, b.lo AS first_word, b.hi AS last_word, coalesce(array_to_string(b.labels, ','), '') AS base_labels,
     coalesce(array_to_string(list_sort(list_distinct(list_concat(b.labels, more.labels))), ','), '') AS labels, CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score
 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN more USING (doc_id)"""

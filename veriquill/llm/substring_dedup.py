@@ -269,8 +269,9 @@ def _spans(docs: pa.Table, wanted: pa.Table) -> pa.Table:
 
 def run_bounds(docs: DataFrame, n_runs: int | None = None) -> tuple[list[int], int]:
     """(ids that end a run, characters in all): ranges of doc_id with about equal amounts of text, RUN_CHARS at most but for single ids."""
-    rows = docs.where("doc_id is not null").count()
-    pieces = max(4 * (n_runs or partitions(docs)), rows // 1000)
+    chars = docs.where("doc_id is not null").agg(F.sum(F.length("text"))).first()[0] or 0
+    # several ranges for each run, so that runs come out about equal; their number follows the text, as that of the runs does
+    pieces = 4 * max(n_runs or partitions(docs), chars // RUN_CHARS + 1)
     lengths = docs.select("doc_id", F.length("text").alias("n")).where("doc_id is not null").repartitionByRange(pieces, "doc_id")
     sums = lengths.groupBy(F.spark_partition_id().alias("piece")).agg(F.max("doc_id").alias("last"), F.sum("n").alias("n")).orderBy("last").collect()
     total = sum(r["n"] or 0 for r in sums)
