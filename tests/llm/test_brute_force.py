@@ -302,6 +302,57 @@ def test_personal_data_tagger():
     assert [(k, long[a:b]) for k, a, b in next(pii.all_spans(tagger, [long]))[1]] == [("phone", "(743) 555-3824")]
 
 
+#: Texts written by hand, and the spans that they hold beside those of the rules.
+BY_HAND = [
+    ("write to bob [at] site [dot] net today", ("email", "bob [at] site [dot] net")),
+    ("mail sam at mill dot com soon", ("email", "sam at mill dot com")),
+    ("write to anna(at)bora(dot)org today", ("email", "anna(at)bora(dot)org")),
+    ("mail kim @ post.example now", ("email", "kim @ post.example")),
+    ("call tel: 212-555-0187 now", ("phone", "212-555-0187")),
+    ("ring 555 867 5309 please", ("phone", "555 867 5309")),
+    ("ring (212) 555-0187 please", ("phone", "(212) 555-0187")),
+    ("dial 212.555.0187 x", ("phone", "212.555.0187")),
+    ("0049 301 2345678 is it", ("phone", "0049 301 2345678")),
+    ("card 4111/1111/1111/1111 ok", ("card", "4111/1111/1111/1111")),
+    ("card 4111.1111.1111.1111 ok", ("card", "4111.1111.1111.1111")),
+    ("the host 10[.]1[.]2[.]3 fell", ("ip", "10[.]1[.]2[.]3")),
+]
+CLEAN = ["In 2023 sales rose by 12.5 % to 1,234 million.", "Version 1.2.3 of 2024-05-06 at 10:45 is out", "We met at home at noon, and at six we left.", "Order #4711 of 12 items for $19.99 (see page 7)", "no figures here at all", "id 123456789 and @handle"]
+
+
+def test_spans_written_by_hand():
+    """Whole spans of forms that no rule knows; clean texts hold none. A tagger of this size misses some forms."""
+    tagger = pii.trained()
+    found = [[(k, t[a:b]) for k, a, b in pii.tagger_spans(tagger, [t])[0] and next(pii.all_spans(tagger, [t]))[1]] for t, _ in BY_HAND]
+    assert sum(want in got for got, (_, want) in zip(found, BY_HAND)) >= 6
+    assert not any(next(pii.all_spans(tagger, [t]))[1] for t in CLEAN)
+
+
+def test_reader_finds_the_best_paths(small):
+    """Stretches that may not be outside, decoded by themselves, give the paths of whole windows, for any weights."""
+    texts = [r.text for r in small.where("text is not null").limit(60).collect()]
+    rough = pii.Tagger(6, 5, seed=3)
+    for tagger, size in ((pii.trained(), 300), (rough, 90), (rough, 7)):
+        windows = [pii.codes(t)[:size] for t in texts if t]
+        chars, mask = pii._batch(windows, size)
+        want = tagger.decode(chars, mask) * (mask > 0)
+        got = np.zeros_like(want)
+        for k, place, tags in pii.Reader(tagger).decode(windows):
+            got[place : place + len(tags), k] = tags
+        assert (got == want).all() and want.any()
+
+
+def test_weights_are_kept(small, monkeypatch):
+    monkeypatch.setattr(pii, "EXAMPLES", 60)
+    monkeypatch.setattr(pii, "EPOCHS", 1)
+    pii.trained.cache_clear()
+    first = pii.tagger_for(small)
+    monkeypatch.setattr(pii, "train", None)
+    again = pii.tagger_for(small)
+    pii.trained.cache_clear()
+    assert all((again.w[k] == v).all() for k, v in first.w.items()) and len(pii.prose_of(small)) > 50 and pii.prose_of(small.limit(0)) == ()
+
+
 def _components(rows):
     sets = {}
     for i, t in rows:
