@@ -106,3 +106,32 @@ def first_terminal(events: DataFrame) -> DataFrame:
     """message_id, status: the first final state of each message; later ones do not count."""
     final = events.where(F.col("status").isin("answered", "no_sources", "error", "stopped"))
     return final.groupBy("message_id").agg(F.min_by("status", "seq").alias("status"))
+
+
+def final_text(items: DataFrame) -> DataFrame:
+    """run_id, text: of runs (run_id, seq, kind, text) whose text did not come in pieces (kind piece), the last message after the last call."""
+    per = Window.partitionBy("run_id")
+    called = F.max(F.when(F.col("kind") == "call", F.col("seq"))).over(per)
+    pieces = F.max((F.col("kind") == "piece") & (F.trim(F.coalesce("text", F.lit(""))) != "")).over(per)
+    rows = items.withColumn("_called", called).withColumn("_pieces", pieces)
+    rows = rows.where((F.col("kind") == "message") & ~F.col("_pieces") & (F.col("_called").isNull() | (F.col("seq") > F.col("_called"))))
+    return rows.groupBy("run_id").agg(F.max_by("text", "seq").alias("text"))
+
+
+def clone_rows(rows: DataFrame, key: str, to: Column, since: Column) -> DataFrame:
+    """rows (key and others, among them key_source) under the key that `to` gives, where it does; of a public source the keys' owner is none."""
+    copied = rows.where(to.isNotNull()).withColumn("_to", to).withColumn("key_source", F.when(since, "none").otherwise(F.col("key_source")))
+    return copied.withColumn(key, F.col("_to")).drop("_to")
+
+
+def cost_range(runs: DataFrame, rates: DataFrame, whole_pages: int, least: float = 0.25) -> DataFrame:
+    """run_id, low, likely, high: what runs (run_id, pages, and a model for each kind of work: kind, model) will cost, null with a model of no rate.
+
+    rates: kind, model, low, likely, high for a report of whole_pages pages. Indexing costs go with the pages, questions too but for `least` of
+    them, scores do not.
+    """
+    share = F.col("pages") / whole_pages
+    factor = F.when(F.col("kind") == "index", share).when(F.col("kind") == "question", F.greatest(share, F.lit(least))).otherwise(1.0)
+    rows = runs.join(F.broadcast(rates), ["kind", "model"], "left")
+    total = lambda c: F.when(F.bool_and(F.col(c).isNotNull()), F.round(F.sum(F.col(c) * factor), 6)).alias(c)
+    return rows.groupBy("run_id").agg(total("low"), total("likely"), total("high"))

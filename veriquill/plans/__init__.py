@@ -1,3 +1,3 @@
 
 
-from . import queries, records, located, kept, outlined, written  # noqa: E402, F401, I001
+from . import queries, records, located, kept, outlined, written, small  # noqa: E402, F401, I001
