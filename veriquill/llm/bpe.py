@@ -6,7 +6,8 @@ numpy, and only words with a failing pair are merged step by step.
 
 Words come from the vocabulary file's own normaliser and pre-tokeniser; tokens, ranks and texts from its vocabulary and merges.
 
-Defined results: null and empty texts have no tokens and decode to the empty text. Each row comes out once, also repeated ones.
+Defined results: null and empty texts have no tokens and decode to the empty text. Each row comes out once, also repeated ones. No
+documents give no rows.
 """
 
 from __future__ import annotations

@@ -6,6 +6,7 @@ the loss mask, which are the reply's own. What follows a conversation's last ass
 
 Defined results: null texts and roles are empty. Turns are in order of turn, then role, then text, so ties and repeated rows have one order.
 Rows without a conversation id form a conversation of their own. A conversation without assistant turns has its rest row only.
+No turns give no rows.
 """
 
 from __future__ import annotations
