@@ -304,10 +304,12 @@ class Reader:
             gates[:h, 0] = -40
             self.sides[d] = np.ascontiguousarray(gates, np.float32), np.ascontiguousarray(w[f"{d}h"].T * half, np.float32)
         self.out, self.bias, self.step, self.start = np.ascontiguousarray(w["o"].T, np.float32), w["ob"], w["t"], w["s"]
-        # how much a run of other tags can gain by its transitions, for each of its characters, against staying outside
-        stay = self.step[0, 0]
-        around = max(float((self.step[0, 1:].max() + self.step[1:, 0].max()) - 2 * stay), float(self.start[1:].max() - self.start[0] + self.step[1:, 0].max() - stay), float(self.step[0, 1:].max() - stay), float(self.start[1:].max() - self.start[0]))
-        self.lead = max(around, float(self.step[1:, 1:].max() - stay), 0.0) + 1e-3
+        # what a run of other tags can gain by its transitions, against staying outside: once, and for each character after its first
+        stay, enter, leave = (float(x) for x in (self.step[0, 0], self.step[0, 1:].max(), self.step[1:, 0].max()))
+        begin = float((self.start[1:] - self.start[0]).max())
+        self.once, self.each = enter + leave - 2 * stay + 1e-3, float(self.step[1:, 1:].max()) - stay + 1e-3
+        # more for runs that begin or end with a window, which enter or leave by no transition
+        self.at_begin, self.at_end = max(0.0, begin + stay - enter), max(0.0, stay - leave)
 
     def _side(self, d: str, chars: np.ndarray) -> np.ndarray:
         """States [hidden, time, window] from the front (f) or the back (b)."""
@@ -334,8 +336,8 @@ class Reader:
     def decode(self, windows: list[np.ndarray]) -> list[tuple[int, int, np.ndarray]]:
         """(window, place, tags) of all stretches in which the best path may be anything but outside.
 
-        slack is by how much "outside" leads at a character, less what transitions may gain there. A run of other tags on the best path has no
-        more slack in all than 0, so characters that no such run covers are outside.
+        A run of other tags on the best path makes up for what it lacks against "outside" at its characters by its transitions, so only characters
+        that some run with enough of both may cover are looked at; all others are outside.
         """
         steps = max(map(len, windows))
         chars = np.zeros((steps, len(windows)), np.uint8)
@@ -346,19 +348,20 @@ class Reader:
         score += np.dot(self.out[:, h:], self._side("b", chars).reshape(h, -1))
         score += self.bias[:, None]
         score = score.reshape(len(TAGS), *chars.shape)
-        lack = score[1:].max(0) - score[0] + self.lead
-        lack[chars == 0] = -np.inf
-        before, after = lack.copy(), lack.copy()
+        lengths = np.array([len(w) for w in windows])
+        gain = score[1:].max(0) - score[0] + self.each
+        gain[0] += self.at_begin
+        gain[lengths - 1, np.arange(len(windows))] += self.at_end
+        gain[chars == 0] = -1e30
+        before, after = gain.copy(), gain.copy()
         for t in range(1, steps):
             before[t] += np.maximum(before[t - 1], 0)
         for t in range(steps - 2, -1, -1):
             after[t] += np.maximum(after[t + 1], 0)
-        with np.errstate(invalid="ignore"):
-            open_ = ((before + after - lack >= 0) & (chars > 0)).T
+        open_ = ((before + after - gain + self.once - self.each >= 0) & (chars > 0)).T
         edges = np.diff(np.pad(open_, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         (column, first), (_, stop) = np.nonzero(edges == 1), np.nonzero(edges == -1)
         # with the characters around a stretch, which are outside
-        lengths = np.array([len(w) for w in windows])
         lo, hi = np.maximum(first - 1, 0), np.minimum(stop + 1, lengths[column])
         out, order = [], np.argsort(hi - lo, kind="stable")
         for part in np.array_split(order, -(-len(order) // 2048) or 1):
