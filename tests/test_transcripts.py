@@ -96,3 +96,17 @@ def test_batches_do_not_matter(spark, tmp_path):
     for i in cut_short:
         mine, have = [r for r in whole if r[0] == i], [r for r in got if r[0] == i]
         assert have[: len(mine)] == mine and all(r[1] == rows[i][-1].seq + 1 for r in have[len(mine) :])
+
+
+def test_fold(spark):
+    """Tokens of a run are its answer with markers, as a scan of the whole gives it."""
+    from veriquill.functions import cites as C
+
+    raws = {r.answer_id: (r.raw, r.most_pages) for r in S.answers(spark, SF).collect()}
+    ended = {r.answer_id for r in S.run_events(spark, SF).where("kind = 'end'").select("answer_id").collect()}
+    got = {r.answer_id: r for r in transcripts.folded(transcripts.shown(S.run_events(spark, SF))).collect()}
+    assert got.keys() == raws.keys()
+    for i, (raw, most) in raws.items():
+        events = C.scan(raw, most)[0]
+        if i in ended:
+            assert (got[i].text, got[i].n_citations, got[i].open_steps) == (C.shown(events), sum(isinstance(e, C.Cite) for e in events), 0)

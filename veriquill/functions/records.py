@@ -58,6 +58,24 @@ def client_address(forwarded: Column, peer: Column) -> Column:
     return F.when(first.rlike(f"^{OCTET}(?:\\.{OCTET}){{3}}$"), first).otherwise(peer)
 
 
+#: Groups of an address of the longer kind; eight of them, or fewer around one gap.
+_GROUP = "[0-9A-Fa-f]{1,4}"
+_SIDE = f"(?:{_GROUP}(?::{_GROUP})*)?"
+
+
+def is_address(text: Column) -> Column:
+    """Whether a text is an address of four numbers, or of eight groups with at most one gap."""
+    gap = text.rlike(f"^{_SIDE}::{_SIDE}$") & (F.size(F.regexp_extract_all(text, F.lit(_GROUP), 0)) <= 7)
+    return text.rlike(f"^{OCTET}(?:\\.{OCTET}){{3}}$") | text.rlike(f"^{_GROUP}(?::{_GROUP}){{7}}$") | gap
+
+
+def forwarded_address(forwarded: Column, peer: Column, hops: int = 0) -> Column:
+    """The first of the forwarded addresses, or with `hops` the one that so many proxies put last; the peer's where that is none."""
+    entries = F.split(F.coalesce(forwarded, F.lit("")), ",")
+    chosen = F.trim(F.try_element_at(entries, F.lit(-hops if hops else 1)))
+    return F.when(is_address(chosen), chosen).otherwise(peer)
+
+
 def imported_id(session: Column, old: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", session, old), 256), 1, 32)
 

@@ -58,3 +58,11 @@ def recover(messages: DataFrame) -> DataFrame:
         F.when(F.col("score").isin("pending", "running"), "skipped").otherwise(F.col("score")).alias("score"),
         F.when(F.col("score").isin("pending", "running"), "interrupted").alias("skipped_reason"),
     )
+
+
+def recovered(documents: DataFrame, messages: DataFrame) -> DataFrame:
+    """kind, n: how many rows a restart ends: documents being indexed (failed), answers in progress (error), scores not done (skipped)."""
+    counts = messages.agg(F.count_if(F.col("status") == "streaming").alias("answers"), F.count_if(F.col("score").isin("pending", "running")).alias("scores"))
+    indexed = documents.agg(F.count_if(F.col("status") == "indexing").alias("documents"))
+    kinds = [F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in ("documents", "answers", "scores")]
+    return counts.crossJoin(F.broadcast(indexed)).select(F.inline(F.array(*kinds)))

@@ -226,3 +226,13 @@ def hashed_embedding(terms: DataFrame, key: str, size: int = 64) -> DataFrame:
     signed = weights.select(key, (byte(1) % size).alias("bucket"), F.when(byte(9) % 2 == 1, F.col("w")).otherwise(-F.col("w")).alias("w"))
     sums = signed.groupBy(key, "bucket").agg(F.sum("w").alias("v"))
     return sums.withColumn("v", F.round(F.col("v") / F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key))), 6))
+
+
+def kept_contexts(contexts: DataFrame, most: int, longest: int = 8000) -> DataFrame:
+    """contexts (answer_id, read_seq, page, cited, text) that a score may use, with place: `most` of an answer, cited pages first and then by the order of
+    reading, in which they are numbered; each page once, from when it was first read, its text cut to `longest` characters."""
+    first = Window.partitionBy("answer_id", "page").orderBy("read_seq")
+    once = contexts.withColumn("_turn", F.row_number().over(first)).withColumn("cited", F.max("cited").over(Window.partitionBy("answer_id", "page"))).where("_turn = 1").drop("_turn")
+    kept = once.withColumn("_rank", F.row_number().over(Window.partitionBy("answer_id").orderBy(F.desc("cited"), "read_seq", "page"))).where(F.col("_rank") <= most).drop("_rank")
+    place = F.row_number().over(Window.partitionBy("answer_id").orderBy("read_seq", "page"))
+    return kept.withColumn("place", place).withColumn("text", F.substring("text", 1, longest))

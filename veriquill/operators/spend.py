@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 # USD for a million tokens (input, cached, output, cache write or none) and whether long prompts cost more.
 PRICES = [
@@ -92,3 +92,42 @@ def meter(usage: DataFrame, costs: DataFrame, by: tuple[str, ...] = ("model",))
     return rows.groupBy(*by).agg(
         F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.sum("cost_usd"), 5).alias("usd"), F.bool_and(F.col("cost_usd").isNotNull()).alias("usd_complete")
     )
+
+
+def session_snapshot(messages: DataFrame, documents: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """session_id, answer_cost_usd, unpriced_answers, unpriced_failed, index_keys, evaluations of sessions.
+
+    messages: session_id, status, has_usage, cost_usd, score_status; documents: session_id, index_key, key_source, status, progress. A key counts once in
+    a session, if the server's own key paid for it and the document did not fail before it began; keys among excluded (index_key) do not.
+    """
+    said = F.col("status").isin("answered", "no_sources")
+    per = messages.groupBy("session_id").agg(
+        F.round(F.coalesce(F.sum(F.greatest("cost_usd", F.lit(0.0))), F.lit(0.0)), 6).alias("answer_cost_usd"),
+        F.count_if(said & F.col("cost_usd").isNull()).alias("unpriced_answers"),
+        F.count_if((F.col("status") == "error") & ~F.col("has_usage")).alias("unpriced_failed"),
+        F.count_if(F.col("score_status").isin("done", "partial", "failed")).alias("evaluations"),
+    )
+    paid = documents.where((F.col("key_source") == "server") & F.col("index_key").isNotNull() & ~((F.col("status") == "failed") & (F.col("progress") == 0)))
+    paid = paid if excluded is None else paid.join(excluded.select("index_key").distinct(), "index_key", "left_anti")
+    keys = paid.groupBy("session_id").agg(F.count_distinct("index_key").alias("index_keys"))
+    out = per.join(keys, "session_id", "full")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("session_id", *[zero(c) for c in ("answer_cost_usd", "unpriced_answers", "unpriced_failed", "index_keys", "evaluations")])
+
+
+def total_spend(snapshot: DataFrame, retired_usd: float = 0.0) -> DataFrame:
+    """spent_usd of all sessions of a snapshot, and of what is gone."""
+    one = F.col("answer_cost_usd") + F.col("unpriced_answers") * UNPRICED + F.col("unpriced_failed") * FAILED + F.col("index_keys") * INDEX + F.col("evaluations") * SCORE
+    return snapshot.agg(F.round(F.coalesce(F.sum(one), F.lit(0.0)) + retired_usd, 3).alias("spent_usd"))
+
+
+def charge(spent: DataFrame, running: DataFrame, limit: float) -> DataFrame:
+    """user_id, at, cost_usd, charged, spent_usd: attempts (user_id, at, cost_usd) in order, each charged unless what was spent before it comes to the limit.
+
+    Once one is refused all later ones are, as spending only grows; so the charges are those whose sum before them is below what is left.
+    """
+    order = Window.partitionBy("user_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = running.join(spent.select("user_id", F.col("spent_usd").alias("_before")), "user_id", "left").withColumn("_before", F.coalesce("_before", F.lit(0.0)))
+    before = F.col("_before") + F.coalesce(F.sum(F.greatest("cost_usd", F.lit(0.0))).over(order), F.lit(0.0))
+    charged = F.round(before, 6) < limit
+    return rows.select("user_id", "at", "cost_usd", charged.alias("charged"), F.round(before + F.when(charged, F.greatest("cost_usd", F.lit(0.0))).otherwise(0.0), 6).alias("spent_usd"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import usage as U
+from ..functions import records as R, usage as U
 from ..functions.terms import content_terms
-from ..operators import evidence, sessions, stored
+from ..operators import chats, evidence, sessions, spend, stored
 from ..sources import tables as S
 from ..sources.shared import shared_dir
+from ..streaming import transcripts
 from .kept import _content
-from .queries import _MODELS
+from .queries import _MODELS, STATE
 from .registry import query
 
 _LIST = "[" + ", ".join(f"'{m}'" for m in [*_MODELS, "o3-mini", "GPT-10"]) + "]"
@@ -117,3 +118,69 @@ def content_embedding(spark, d):
     found = evidence.hashed_embedding(items.select("item_id", F.explode(content_terms(F.col("text"))).alias("term")), "item_id").where("not isnan(v)")
     none = items.join(found.select("item_id").distinct(), "item_id", "left_anti").select("item_id", F.lit(0).cast("long").alias("bucket"), F.lit(1.0).alias("v"))
     return found.unionByName(none)
+
+
+_MESSAGES = "m AS (SELECT user_id AS session_id, CASE event_type WHEN 'purchase' THEN 'answered' WHEN 'view' THEN 'no_sources' WHEN 'error' THEN 'error' ELSE 'streaming' END AS status, event_id % 2 = 0 AS has_usage, CASE WHEN event_id % 3 > 0 THEN value - 5 END AS cost_usd, ['done', 'partial', 'failed', 'skipped', 'pending'][event_id % 5 + 1] AS score_status FROM events), d AS (SELECT user_id AS session_id, props AS index_key, CASE WHEN event_id % 3 = 0 THEN 'visitor' ELSE 'server' END AS key_source, CASE WHEN event_id % 4 = 0 THEN 'failed' ELSE 'ready' END AS status, event_id % 2 AS progress FROM events WHERE event_type = 'signup'), gone AS (SELECT props AS index_key FROM events WHERE event_id % 50 = 1)"
+_SESSIONS = f"""{_MESSAGES}, per AS (SELECT session_id, round(coalesce(sum(greatest(cost_usd, 0)), 0), 6) AS answer_cost_usd, count(*) FILTER (WHERE status IN ('answered', 'no_sources') AND cost_usd IS NULL) AS unpriced_answers, count(*) FILTER (WHERE status = 'error' AND NOT has_usage) AS unpriced_failed, count(*) FILTER (WHERE score_status IN ('done', 'partial', 'failed')) AS evaluations FROM m GROUP BY session_id),
+    k AS (SELECT session_id, count(DISTINCT index_key) AS index_keys FROM d WHERE key_source = 'server' AND NOT (status = 'failed' AND progress = 0) AND index_key NOT IN (SELECT index_key FROM gone) GROUP BY session_id), snap AS (SELECT per.*, coalesce(index_keys, 0) AS index_keys FROM per LEFT JOIN k USING (session_id))"""
+
+
+def _sessions(spark, d):
+    e = S.read(spark, d, "events")
+    kind, n = F.col("event_type"), F.col("event_id")
+    status = F.when(kind == "purchase", "answered").when(kind == "view", "no_sources").when(kind == "error", "error").otherwise("streaming")
+    score = F.element_at(F.array(*map(F.lit, ("done", "partial", "failed", "skipped", "pending"))), (n % 5 + 1).cast("int"))
+    messages = e.select(F.col("user_id").alias("session_id"), status.alias("status"), (n % 2 == 0).alias("has_usage"), F.when(n % 3 > 0, F.col("value") - 5).alias("cost_usd"), score.alias("score_status"))
+    documents = e.where("event_type = 'signup'").select(F.col("user_id").alias("session_id"), F.col("props").alias("index_key"), F.when(n % 3 == 0, "visitor").otherwise("server").alias("key_source"), F.when(n % 4 == 0, "failed").otherwise("ready").alias("status"), (n % 2).alias("progress"))
+    return spend.session_snapshot(messages, documents, e.where(n % 50 == 1).select(F.col("props").alias("index_key")))
+
+
+@query(f"WITH {_SESSIONS} SELECT session_id, round(answer_cost_usd, 4) AS answer_cost_usd, unpriced_answers, unpriced_failed, index_keys, evaluations FROM snap")
+def session_usage(spark, d):
+    """What sessions have used, without keys that were paid for before."""
+    return _sessions(spark, d).withColumn("answer_cost_usd", F.round("answer_cost_usd", 4))
+
+
+@query(f"WITH {_SESSIONS} SELECT round(sum(answer_cost_usd + unpriced_answers * 0.5::DOUBLE + unpriced_failed * 0.1::DOUBLE + index_keys * 0.4::DOUBLE + evaluations * 0.08::DOUBLE) + 12.5, 1) AS spent_usd FROM snap")
+def spend_total(spark, d):
+    return spend.total_spend(_sessions(spark, d), 12.5).withColumn("spent_usd", F.round("spent_usd", 1))
+
+
+@query("WITH x AS (SELECT user_id, event_id AS \"at\", greatest(value, 0) AS c, user_id % 7 + coalesce(sum(greatest(value, 0)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM events) SELECT user_id, \"at\", b < 150 AS charged FROM x")
+def budget_charges(spark, d):
+    """Which of a user's charges are taken before the budget is used up."""
+    e = S.read(spark, d, "events")
+    spent = e.select("user_id", (F.col("user_id") % 7).cast("double").alias("spent_usd")).distinct()
+    return spend.charge(spent, e.select("user_id", F.col("event_id").alias("at"), F.col("value").alias("cost_usd")), 150.0).select("user_id", "at", "charged")
+
+
+@query(
+    """WITH c AS (SELECT conv_id AS answer_id, turn AS read_seq, turn % 4 AS page, turn % 3 = 0 AS cited, text FROM conversations), f AS (SELECT *, row_number() OVER (PARTITION BY answer_id, page ORDER BY read_seq) AS r, bool_or(cited) OVER (PARTITION BY answer_id, page) AS c FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY c DESC, read_seq, page) AS n FROM f WHERE r = 1)
+    SELECT answer_id, page, c AS cited, row_number() OVER (PARTITION BY answer_id ORDER BY read_seq, page) AS place, md5(substr(text, 1, 30)) AS text FROM k WHERE n <= 3"""
+)
+def contexts_kept(spark, d):
+    c = S.messages(spark, d).select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("read_seq"), (F.col("turn") % 4).alias("page"), (F.col("turn") % 3 == 0).alias("cited"), "text")
+    return evidence.kept_contexts(c, 3, 30).select("answer_id", "page", "cited", "place", F.md5("text").alias("text"))
+
+
+@query("SELECT event_id, CASE user_id % 6 WHEN 0 THEN '203.0.113.' || user_id % 256 WHEN 1 THEN 'peer' WHEN 2 THEN '2001:db8::' || user_id % 10 WHEN 3 THEN 'peer' WHEN 4 THEN '1:2:3:4:5:6:7:8' ELSE 'peer' END AS address FROM events")
+def proxied_address(spark, d):
+    """The address that the second proxy from the end saw, of either kind."""
+    kind, n = F.col("user_id") % 6, F.col("user_id")
+    seen = F.when(kind == 0, F.concat(F.lit("203.0.113."), n % 256)).when(kind == 1, F.lit("1::2::3")).when(kind == 2, F.concat(F.lit("2001:db8::"), n % 10)).when(kind == 3, F.lit("1:2:3:4:5:6:7:8:9")).when(kind == 4, F.lit("1:2:3:4:5:6:7:8"))
+    forwarded = F.when(seen.isNull(), F.lit("10.0.0.1")).otherwise(F.concat(F.lit("spoofed, "), seen, F.lit(" , 10.0.0.1")))
+    return S.read(spark, d, "events").select("event_id", R.forwarded_address(forwarded, F.lit("peer"), 2).alias("address"))
+
+
+@query(f"WITH s AS ({STATE}) SELECT 'documents' AS kind, count(*) FILTER (WHERE status = 'indexing') AS n FROM s UNION ALL SELECT 'answers', count(*) FILTER (WHERE turn % 3 = 1) FROM conversations UNION ALL SELECT 'scores', count(*) FILTER (WHERE conv_id % 4 IN (1, 2)) FROM conversations")
+def recovered_rows(spark, d):
+    m = S.messages(spark, d)
+    status = F.element_at(F.array(*map(F.lit, ("answered", "streaming", "no_sources"))), (F.col("turn") % 3 + 1).cast("int"))
+    score = F.element_at(F.array(*map(F.lit, ("done", "pending", "running", "failed"))), (F.col("conv_id") % 4 + 1).cast("int"))
+    return chats.recovered(chats.session_documents(m), m.select(status.alias("status"), score.alias("score")))
+
+
+@query()
+def message_fold(spark, d):
+    """What the rows that a reader is shown come to."""
+    return transcripts.folded(transcripts.shown(S.run_events(spark, d))).withColumn("text", F.md5("text"))

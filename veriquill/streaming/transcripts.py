@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.cites import CiteStream
@@ -130,3 +130,14 @@ def shown(events: DataFrame) -> DataFrame:
     """shown_stream() of a table of whole runs: dealt by run, sorted and walked through. Events without a run or a number are left out."""
     rows = events.where("answer_id is not null and seq is not null").repartition("answer_id").sortWithinPartitions("answer_id", "seq")
     return rows.select("answer_id", "most_pages", *COLUMNS).mapInPandas(_walk, SHOWN)
+
+
+def folded(shown_rows: DataFrame) -> DataFrame:
+    """answer_id, text, steps, open_steps, n_citations: what the shown rows of a run come to. A step or cite that comes again replaces itself."""
+    order = F.struct("seq", "place")
+    steps = shown_rows.where("step is not null").groupBy("answer_id", "step").agg(F.max_by("label", order).alias("label"), F.max_by("kind", order).alias("kind"))
+    steps = steps.groupBy("answer_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "label"))), lambda x: x.label), "; ").alias("steps"), F.count_if(F.col("kind") == "step").alias("open_steps"))
+    tokens = shown_rows.where("kind = 'token'").groupBy("answer_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "place", "text"))), lambda x: x.text), "").alias("text"))
+    cites = shown_rows.where("kind = 'citation'").groupBy("answer_id").agg(F.count_distinct("n").alias("n_citations"))
+    out = shown_rows.select("answer_id").distinct().join(steps, "answer_id", "left").join(tokens, "answer_id", "left").join(cites, "answer_id", "left")
+    return out.select("answer_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("steps", F.lit("")).alias("steps"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("open_steps", "n_citations")])
