@@ -152,7 +152,7 @@ def locate(cites: DataFrame, pages: DataFrame, neighbours: int = 1) -> DataFrame
     """cites with n_pages, hint, text, found_page, stage and match: the cited page if the quote is verified there, else the nearest neighbour
     that verifies it (the earlier of two), else the nearest page of the document that holds it letter by letter, else what the cited page
     has, or nothing. Each row of cites comes out once, whatever its ids; pages have one row for each document and number."""
-    pages = known_pages(pages)
+    pages = pages.select("doc_id", "page", "text")
     numbered = materialize(cites.select(F.monotonically_increasing_id().alias("row"), F.struct(*cites.columns).alias("cite"), "doc_id", "page", "quote"))
     rows = materialize(locate_on_page(numbered, pages))
     lost = rows.where(~verified("here"))
@@ -161,12 +161,14 @@ def locate(cites: DataFrame, pages: DataFrame, neighbours: int = 1) -> DataFrame
     probes = with_match(probes.join(_page(pages, "near", "near_text"), ["doc_id", "near"]), "there", "near_text", "quote")
     # matches are told apart in the aggregates: a filter on them would be pushed into the joins below, where no Python runs
     near = materialize(probes.groupBy("row").agg(F.min_by(F.struct("near", "there"), F.when(verified("there"), F.col("turn"))).alias("close")).where("close is not null"))
-    # what is still lost meets the pages of its document that share a block with it
-    far = lost.join(near, "row", "left_anti").select("row", "doc_id", "hint", "quote", full_squash(F.col("quote")).alias("q")).where(F.length("q") >= WHOLE_DOCUMENT)
+    # what is still lost meets the pages of its document that share a block with it; only such documents are squashed
+    far = materialize(lost.join(near, "row", "left_anti").select("row", "doc_id", "hint", "quote", full_squash(F.col("quote")).alias("q")))
+    far = far.where(F.length("q") >= WHOLE_DOCUMENT)
+    sought = known_pages(pages.join(far.select("doc_id").distinct(), "doc_id", "left_semi"))
     grams = far.select("row", "doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("q") - BLOCK + 1), lambda i: F.substr("q", i, F.lit(BLOCK))))).alias("gram"))
-    held = pages.join(far.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "page", F.explode(F.array_distinct(blocks(F.col("s")))).alias("gram"))
+    held = sought.select("doc_id", "page", F.explode(F.array_distinct(blocks(F.col("s")))).alias("gram"))
     held = held.join(grams, ["doc_id", "gram"]).select("row", "doc_id", "page").distinct().join(far.drop("doc_id"), "row")
-    held = held.join(pages, ["doc_id", "page"]).where(F.contains("s", "q"))
+    held = held.join(sought, ["doc_id", "page"]).where(F.contains("s", "q"))
     held = with_match(held, "found", "text", "quote")
     nearest = F.when(verified("found"), F.struct(F.abs(F.col("page") - F.col("hint")), "page"))
     away = held.groupBy("row").agg(F.min_by(F.struct(F.col("page").alias("far"), "found"), nearest).alias("away")).where("away is not null")
