@@ -230,6 +230,9 @@ def test_outlines(spark):
     assert {p: v for (d, p), v in got.items() if d == 1} == want
     assert {p: v[0] for (d, p), v in got.items() if d == 2} == {3: ["Spaced"], 4: ["Spaced", "Deep"], 7: ["Spaced", "Deep"]}
     assert outline.flatten(boundary_tree(spark).limit(0)).count() == 0
+    twins = spark.createDataFrame([(1, '[{"title": "A", "start_index": 1, "end_index": 3}, {"title": "B", "start_index": 1, "end_index": 3}, {"title": "C", "start_index": 2, "end_index": 4}]')], "doc_id long, tree string")
+    pages = spark.createDataFrame([(1, 1), (1, 3), (None, 1), (1, None)], "doc_id long, page long")
+    assert sorted((r.page, r.place) for r in evidence.deepest_section(pages, outline.flatten(twins), "place").collect()) == [(1, [0]), (3, [2])]
 
 
 def test_sections_of_overlapping_ranges(spark, monkeypatch):

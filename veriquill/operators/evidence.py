@@ -101,7 +101,7 @@ def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if kind == 0:
                 if at_page != lo:
                     starting, at_page = [], lo
-                entry = (-depth, hi - lo, -lo, node, hi)
+                entry = (-depth, hi - lo, -lo, node if isinstance(node, str) else tuple(node), hi)
                 starting.append(entry)
                 heapq.heappush(heap, entry)
                 continue
@@ -112,14 +112,14 @@ def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 else:
                     heapq.heappop(heap)
             if best:
-                out.append((doc, at, best[3]))
+                out.append((doc, at, best[3] if isinstance(best[3], str) else list(best[3])))
         yield pd.DataFrame(out, columns=["doc_id", "page", "node"])
 
 
 def deepest_section(pages: DataFrame, nodes: DataFrame, name: str = "node_id") -> DataFrame:
     """doc_id, page and the node (column `name`) of each page's section: one that starts there first, then the deepest, narrowest, latest and first by name.
 
-    Sections (doc_id, name, depth, lo, hi) without a range, or with one that runs backwards, are left out; pages without a section, too. Each
+    name is a text or an array. Sections (doc_id, name, depth, lo, hi) without a range, or with one that runs backwards, are left out; pages without a section, too. Each
     document is swept once in order of pages, SPAN pages at a time: a section that reaches over several runs takes part in each.
     """
     kind = nodes.schema[name].dataType.simpleString()
@@ -130,7 +130,7 @@ def deepest_section(pages: DataFrame, nodes: DataFrame, name: str = "node_id") -
     long = lambda c: F.col(c).cast("long").alias(c)
     sections = ranged.select("doc_id", span.alias("span"), F.col("lo").cast("long").alias("at"), F.lit(0).alias("kind"), long("depth"), long("lo"), long("hi"), F.col(name).alias("node"))
     none = [F.lit(-1).cast("long").alias(c) for c in ("depth", "lo", "hi")]
-    shown = pages.where("page is not null").select("doc_id", run(F.col("page")).alias("span"), F.col("page").cast("long").alias("at"), F.lit(1).alias("kind"), *none, F.lit(None).cast(kind).alias("node"))
+    shown = pages.where("doc_id is not null and page is not null").select("doc_id", run(F.col("page")).alias("span"), F.col("page").cast("long").alias("at"), F.lit(1).alias("kind"), *none, F.lit(None).cast(kind).alias("node"))
     stream = sections.unionByName(shown).repartition("doc_id", "span").sortWithinPartitions("doc_id", "span", "at", "kind")
     doc = pages.schema["doc_id"].dataType.simpleString()
     return stream.mapInPandas(_sweep, f"doc_id {doc}, page long, node {kind}").withColumnRenamed("node", name)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
@@ -21,8 +22,11 @@ class StoredTable:
         self.spark, self.folder, self.schema, self.key = spark, folder.rstrip("/"), schema, key
 
     def _manifest(self) -> DataFrame:
-        self.spark.createDataFrame([], MANIFEST).write.mode("append").parquet(f"{self.folder}/manifest")
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifest")
+        try:
+            return self.spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifest")
+        except AnalysisException:
+            # there was no write yet
+            return self.spark.createDataFrame([], MANIFEST)
 
     def versions(self) -> list:
         return self._manifest().orderBy("version").collect()
