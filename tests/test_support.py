@@ -255,3 +255,14 @@ def test_titles(spark):
     rows = [("  My report ", "x.pdf", []), ("Cover", "C:\\a\\An_annual-report 2024.PDF", []), ("ab", None, ["  ", "Contents", "Review"]), (None, ".pdf", []), (None, None, [])]
     df = spark.createDataFrame(rows, "own string, name string, heads array<string>")
     assert [r[0] for r in df.select(outline.document_title(F.col("own"), F.col("name"), F.col("heads"))).collect()] == ["My report", "An annual report 2024", "Review", ".pdf", None]
+
+
+def test_scores_deal_out_units_not_terms(spark):
+    """Each unit is dealt out once as its stems, not as a row for each of its terms."""
+    rows = spark.createDataFrame([(1, 1, "The board rose to fame today. It fell later on.")], "doc_id long, page long, text string")
+    questions = spark.createDataFrame([(1, 0, "Which board rose?")], "doc_id long, question_id long, text string")
+    nodes = spark.createDataFrame([(1, "a", "Board", "", "", 1, 1)], "doc_id long, node_id string, title string, keys string, summary string, lo long, hi long")
+    relevance = spark.createDataFrame([(1, 0, 1, 1.0)], "doc_id long, question_id long, page long, relevance double")
+    scored = support.score_units(support.page_units(rows), questions, nodes, relevance)
+    assert [tuple(r) for r in scored.select("unit", F.array_sort("matched")).collect()] == [(0, ["board", "rose"])]
+    assert "explode(" not in scored._jdf.queryExecution().optimizedPlan().toString()

@@ -57,33 +57,34 @@ def page_units(spark, d):
 @query()
 def outline_ranks(spark, d):
     """Sections of a document's own outline by how well they answer its questions."""
-    ranked = ranking.rank_nodes(S.report_questions(spark, d), outline.ranked_nodes(_nodes(spark, d)), ("doc_id",))
+    ranked = ranking.rank_nodes(S.report_questions(spark, d), materialize(outline.ranked_nodes(_nodes(spark, d))), ("doc_id",))
     return ranked.select("doc_id", "question_id", _joined("node_id").alias("place"), "score", "rank")
 
 
-def _scored(spark, d):
-    nodes = outline.ranked_nodes(_nodes(spark, d))
-    questions, units = S.report_questions(spark, d), materialize(support.page_units(S.report_pages(spark, d)))
+def _scored(spark, d, units):
+    nodes = materialize(outline.ranked_nodes(_nodes(spark, d)))
+    questions = S.report_questions(spark, d)
     ranked = ranking.rank_nodes(questions, nodes, ("doc_id",))
     relevance = outline.page_relevance(ranked, nodes, ("doc_id", "question_id"))
-    return units, support.score_units(units, questions, nodes, relevance)
+    return support.score_units(units, questions, nodes, relevance)
 
 
 @query()
 def unit_scores(spark, d):
-    return _scored(spark, d)[1].select("doc_id", "question_id", "page", "unit", "score", F.array_join(F.array_sort("matched"), " ").alias("matched"))
+    scored = _scored(spark, d, support.page_units(S.report_pages(spark, d)))
+    return scored.select("doc_id", "question_id", "page", "unit", "score", F.array_join(F.array_sort("matched"), " ").alias("matched"))
 
 
 @query()
 def unit_pick(spark, d):
-    return support.pick_units(_scored(spark, d)[1]).select("doc_id", "question_id", "page", "unit", "score", "pick")
+    return support.pick_units(_scored(spark, d, support.page_units(S.report_pages(spark, d)))).select("doc_id", "question_id", "page", "unit", "score", "pick")
 
 
 @query()
 def support_answers(spark, d):
     """Answers of picked units, with a cite of each unit's best words."""
-    units, scored = _scored(spark, d)
-    return support.compose(support.pick_units(scored), units).select("answer_id", "question_id", F.md5("raw").alias("raw"))
+    units = materialize(support.page_units(S.report_pages(spark, d)), "zstd")
+    return support.compose(support.pick_units(_scored(spark, d, units)), units).select("answer_id", "question_id", F.md5("raw").alias("raw"))
 
 
 _PLAIN = "regexp_replace(text, '<cite[^>]*/>|\\[\\[c[0-9]+\\]\\]|\\[[0-9]+(?:,\\s*[0-9]+)*\\]', '', 'g')"

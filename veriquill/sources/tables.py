@@ -38,7 +38,8 @@ def outlines(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, created_at, tree: JSON outlines of reports, sections of SECTION pages in chapters of CHAPTER pages under one root. Every fifth
     document's tree has things in it that are no nodes, and each document an older tree that is no JSON."""
     pages = report_pages(spark, folder)
-    told = pages.select("doc_id", F.col("page").alias("lo"), F.split(F.regexp_replace("text", "\\s+", " "), " ").alias("w"))
+    # only the words that a node says are carried on
+    told = pages.select("doc_id", F.col("page").alias("lo"), F.slice(F.split(F.regexp_replace("text", "\\s+", " "), " "), 8, 30).alias("w"))
     words = lambda k, n: F.array_join(F.slice("w", k, n), " ")
     last = pages.groupBy("doc_id").agg(F.max("page").alias("n"))
 
@@ -46,7 +47,7 @@ def outlines(spark: SparkSession, folder: str) -> DataFrame:
         rows = told.join(last, "doc_id").where((F.col("lo") - 1) % width == 0 if width else F.col("lo") == 1)
         hi = F.least("n", F.col("lo") + width - 1) if width else F.col("n")
         node_id = F.concat_ws("-", F.lit("n"), F.lit(name), "lo")
-        return rows.select("doc_id", "lo", words(8, 4).alias("title"), node_id.alias("node_id"), F.col("lo").alias("start_index"), hi.alias("end_index"), words(8, 30).alias("summary"))
+        return rows.select("doc_id", "lo", words(1, 4).alias("title"), node_id.alias("node_id"), F.col("lo").alias("start_index"), hi.alias("end_index"), words(1, 30).alias("summary"))
 
     def under(parents: DataFrame, children: DataFrame, width: int | None) -> DataFrame:
         above = F.col("lo") - (F.col("lo") - 1) % width if width else F.lit(1).cast("long")
@@ -57,8 +58,9 @@ def outlines(spark: SparkSession, folder: str) -> DataFrame:
     tree = under(level("0", None), under(level("1", CHAPTER), level("2", SECTION), CHAPTER), None)
     text = F.to_json(F.array(F.struct("title", "node_id", "start_index", "end_index", "summary", "nodes")))
     odd = F.concat(F.lit('["no node", null, {"title": "Backwards", "start_index": 9, "end_index": 3}, {"title": "  ", "start_index": "1", "end_index": "1"}, '), F.substr(text, F.lit(2)))
-    trees = tree.select("doc_id", F.lit("2025-02-01T00:00:00").alias("created_at"), F.when(F.col("doc_id") % 5 == 0, odd).otherwise(text).alias("tree"))
-    return trees.unionByName(tree.select("doc_id", F.lit("2025-01-01T00:00:00").alias("created_at"), F.lit("[{").alias("tree")))
+    newest = F.when(F.col("doc_id") % 5 == 0, odd).otherwise(text)
+    made = [F.struct(F.lit(at).alias("created_at"), t.alias("tree")) for at, t in (("2025-02-01T00:00:00", newest), ("2025-01-01T00:00:00", F.lit("[{")))]
+    return tree.select("doc_id", F.inline(F.array(*made)))
 
 
 def report_questions(spark: SparkSession, folder: str) -> DataFrame:
