@@ -108,3 +108,20 @@ def test_statistics(spark):
     out = statistics.order_statistics(spark.createDataFrame([(v,) for v in [*values, None]], "value double").repartition(4), (0, 0.05, 0.5, 0.95, 1))
     assert {r.share: (r.n, r.value) for r in out.collect()} == {s: (501, sorted(values)[min(500, int(s * 501))]) for s in (0, 0.05, 0.5, 0.95, 1)}
     assert statistics.order_statistics(spark.createDataFrame([], "value double"), (0.5,)).count() == 0
+
+
+def test_intervals_against_plain_python(spark):
+    rng = random.Random(7)
+    steps = [(k, lo, lo + rng.choice([0, 1, 2, 3, 7, 8, 9, 64, 1000, 2**20])) for k in range(200) for lo in [rng.randrange(-50, 400)]]
+    samples = [(rng.randrange(-60, 420), k, rng.choice([None, *[rng.randrange(100) / 4] * 9])) for k in range(900)]
+    got = {r.step: r for r in statistics.interval_statistics(spark.createDataFrame(steps, "step int, lo long, hi long"), spark.createDataFrame(samples, "t long, id int, value double")).collect()}
+    for step, lo, hi in steps:
+        inside = sorted((t, k, v) for t, k, v in samples if lo <= t <= hi)
+        told = [v for *_, v in inside if v is not None]
+        r = got[step]
+        assert (r.n, r.peak, r.last) == (len(inside), max(told, default=None), inside[-1][2] if inside else None)
+        assert r.mean == pytest.approx(sum(told) / len(told)) if told else r.mean is None
+    # no step meets each of its samples: no join compares times
+    out = statistics.interval_statistics(spark.createDataFrame(steps, "step int, lo long, hi long"), spark.createDataFrame(samples, "t long, id int, value double"))
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins and not any("<=" in line or ">=" in line for line in joins)
