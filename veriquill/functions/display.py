@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -14,8 +15,13 @@ IN_MIB = {"B": 1 / 1048576, "KiB": 1 / 1024, "kB": 1 / 1024, "MiB": 1.0, "MB": 1
 
 
 def fixed(x: Column, places: int) -> Column:
-    """A number with that many places, without signs between thousands."""
-    return F.format_string(f"%.{places}f", x.cast("double"))
+    """A number with that many places, without signs between thousands: the nearest to the double's exact value, of two equally near ones the even one."""
+    x = x.cast("double")
+    # format_string rounds the shortest decimal text of a double, half up; format_number its exact value, but not below one unit of the last place
+    text = F.call_function("format_number", x, F.lit("0." + "0" * places if places else "0"))
+    half = float(f"5e-{places + 1}")
+    up = x >= half if Decimal(half) > Decimal(f"5e-{places + 1}") else x > half
+    return F.when((x >= 0) & (x < 10.0**-places), F.when(up, f"{10.0**-places:.{places}f}").otherwise(f"{0:.{places}f}")).otherwise(text)
 
 
 def short_name(name: Column, most: int = 20) -> Column:
@@ -24,11 +30,14 @@ def short_name(name: Column, most: int = 20) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, 7), F.lit("..."), F.right(text, F.lit(10)))).otherwise(text)
 
 
-def byte_size(n: Column) -> Column:
-    """12 B, 3.4 KB, 120 MB; nothing for a negative or unknown size."""
+def byte_size(n: Column, largest: str = "GB") -> Column:
+    """12 B, 3.4 KB, 120 MB; nothing for a negative or unknown size. Sizes beyond `largest` (KB, MB or GB) are told in it."""
     show = lambda v: F.when(v >= 100, fixed(F.round(v), 0)).otherwise(fixed(v, 1))
-    k, m, g = (n / 1024**i for i in (1, 2, 3))
-    text = F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B"))).when(k < 1024, F.concat(show(k), F.lit(" KB"))).when(m < 1024, F.concat(show(m), F.lit(" MB"))).otherwise(F.concat(show(g), F.lit(" GB")))
+    text = F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B")))
+    units = ("KB", "MB", "GB")[: ("KB", "MB", "GB").index(largest) + 1]
+    for i, unit in enumerate(units, 1):
+        told = F.concat(show(n / 1024**i), F.lit(f" {unit}"))
+        text = text.otherwise(told) if unit == largest else text.when(n / 1024**i < 1024, told)
     return F.when(n.isNull() | (n < 0), "").otherwise(text)
 
 
