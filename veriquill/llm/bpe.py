@@ -16,7 +16,9 @@ import functools
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,10 @@ from .token_files import BYTE_CHARS
 #: Distinct words and blank-separated pieces that a task remembers.
 REMEMBERED = 300_000
 #: Texts of these characters are normal forms, and lower() and this pattern give what the vocabulary's own normaliser and pre-tokeniser do.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7E\xA1-\xAC\xAE-\u012F\u0132-\u024F\u2010-\u2027\u2030-\u205E]*")
+PLAIN = re.compile(r"[\t\n\r\x20-\x7E\xA1-\xAC\xAE-\u012F\u0132-\u024F\u2010-\u2027\u2030-\u205E]*")
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 SHORT = 64
-FAR = np.int64(1) << 40
+FAR, NEVER = np.int64(1) << 40, 1 << 62
 
 
 class WordBpe:
@@ -50,7 +52,8 @@ class WordBpe:
         self.text = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.rank = {m: r for r, m in enumerate(merges)}
-        self.by_pair = {(self.vocab[a] << 32) | self.vocab[b]: (r, self.vocab[a + b]) for r, (a, b) in enumerate(merges)}
+        # rank and token of a merge as one number, so that the least one is the next to do
+        self.by_pair = {(self.vocab[a] << 32) | self.vocab[b]: (r << 32) | self.vocab[a + b] for r, (a, b) in enumerate(merges)}
         # When merging first makes each token (never, for single symbols), and from which halves
         size = max(self.vocab.values()) + 1
         made: dict[str, int] = {}
@@ -109,11 +112,11 @@ class WordBpe:
         return [self.vocab[s] for s, ok in zip(symbols, alive, strict=True) if ok]
 
     def _merged_short(self, ids: list[int]) -> list[int]:
-        get, none = self.by_pair.get, (int(FAR), -1)
+        get, none = self.by_pair.get, NEVER
         due = [get((a << 32) | b, none) for a, b in zip(ids, ids[1:], strict=False)]
-        while due and (least := min(due)) is not none:
+        while due and (least := min(due)) != none:
             i = due.index(least)
-            ids[i] = least[1]
+            ids[i] = least & 0xFFFFFFFF
             del ids[i + 1], due[i]
             if i < len(due):
                 due[i] = get((ids[i] << 32) | ids[i + 1], none)
@@ -166,7 +169,8 @@ class WordBpe:
 
     def learn(self, words: list[str]) -> None:
         """Remember (ids as text, number of ids, decoded text) of these words."""
-        spelt = [w if w in self.added else "".join(map(BYTE_CHARS.__getitem__, w.encode())) for w in words]
+        # letters of ASCII are spelt as they are
+        spelt = [w if (w.isascii() and w.isalpha()) or w in self.added else "".join(map(BYTE_CHARS.__getitem__, w.encode())) for w in words]
         cut = [[self.added[w]] if w in self.added else self._greedy(w) for w in spelt]
         lengths = np.array([len(c) for c in cut], np.int64)
         ids = np.array([i for c in cut for i in c], np.int64)
@@ -185,19 +189,20 @@ class WordBpe:
         if len(self.words) + len(self.pieces) > REMEMBERED:
             self.older_words, self.older_pieces, self.words, self.pieces = self.words, self.pieces, {}, {}
         split = [(text.lower().split(), self.pieces) if PLAIN.fullmatch(text) and not any(s in text for s in self.added) else (self._split(text), self.words) for text in texts]
-        unknown = {p for pieces, known in split if known is self.pieces for p in set(pieces) if p not in known}
+        unknown = set().union(*[pieces for pieces, known in split if known is self.pieces]).difference(self.pieces)
         self.pieces |= {p: self.older_pieces[p] for p in unknown if p in self.older_pieces}
-        new = {p: WORD.findall(p) for p in unknown if p not in self.pieces}
+        new = {p: [p] if p.isalpha() else WORD.findall(p) for p in unknown if p not in self.pieces}
         words = {w for ws in new.values() for w in ws} | {w for ws, known in split if known is self.words for w in ws}
         self.words |= {w: self.older_words[w] for w in words if w not in self.words and w in self.older_words}
         if words := [w for w in words if w not in self.words]:
             self.learn(words)
-        self.pieces |= {p: self._joined([self.words[w] for w in ws]) for p, ws in new.items()}
-        return [self._joined([known[p] for p in pieces]) for pieces, known in split]
+        self.pieces |= {p: self.words[ws[0]] if len(ws) == 1 else self._joined(map(self.words.__getitem__, ws)) for p, ws in new.items()}
+        return [self._joined(map(known.__getitem__, pieces)) for pieces, known in split]
 
     @staticmethod
-    def _joined(got: list[tuple[str, int, str]]) -> tuple[str, int, str]:
-        return " ".join([g[0] for g in got]), sum([g[1] for g in got]), " ".join([g[2] for g in got])
+    def _joined(got: Iterable[tuple[str, int, str]]) -> tuple[str, int, str]:
+        got = list(got)
+        return " ".join(map(itemgetter(0), got)), sum(map(itemgetter(1), got)), " ".join(map(itemgetter(2), got))
 
     def _split(self, text: str) -> list[str]:
         if any(s in text for s in self.added):
