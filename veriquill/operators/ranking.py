@@ -4,20 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.terms import content_terms, pairs, terms
+from ..functions.terms import content, content_terms, pairs, terms
 from ..sources.shared import materialize
 
 # What a term counts in a title, among key items and in a summary; the share of phrases; the least share of the best score.
 IN_TITLE, IN_KEYS, IN_SUMMARY, PHRASE, LEAST_SHARE, FIGURE = 2.0, 1.5, 1.0, 0.25, 0.25, 0.3
 MOST_PAGES = 4
+#: Rows about questions that are broadcast; more are joined by a shuffle.
+FEW = 200_000
 
 
-def _node_terms(asked: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
-    """by, node_id, term, worth: the terms of nodes that questions (by, question_id, seq) of their outline have; a term counts where it is worth most."""
-    places = F.array(*[F.struct(F.array_distinct(terms(F.col(c))).alias("held"), F.lit(w).alias("worth")) for c, w in (("title", IN_TITLE), ("keys", IN_KEYS), ("summary", IN_SUMMARY))])
-    known = asked.select(*by, F.explode("seq").alias("term")).distinct()
-    where = nodes.select(*by, "node_id", F.inline(places)).select(*by, "node_id", F.explode("held").alias("term"), "worth").join(known, [*by, "term"])
-    return where.groupBy(*by, "node_id", "term").agg(F.max("worth").alias("worth"))
+def _held(asked: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
+    """by, node_id, term, worth: what nodes hold of the terms and pairs of terms of questions (by, question_id, seq) of their outline.
+
+    A term counts where it is worth most; pairs have no worth. Each node's texts are read once and nothing of them is shuffled but, with an outline's
+    columns, the node itself, to meet all that its questions ask.
+    """
+    none = F.array().cast("array<string>")
+    read = nodes.select(*by, "node_id", *[F.coalesce(terms(F.col(c)), none).alias(c) for c in ("title", "keys", "summary")])
+    asks = asked.select(*by, F.concat(F.array_distinct("seq"), pairs(F.col("seq"))).alias("asks"))
+    title, keys, summary = F.array_distinct("title"), F.array_except("keys", "title"), F.array_except(F.array_except("summary", "title"), F.col("keys"))
+    two = pairs(F.filter(F.concat("title", "keys", "summary"), content))
+    if by:
+        read = read.join(asks.groupBy(*by).agg(F.array_distinct(F.flatten(F.collect_list("asks"))).alias("asks")), by)
+        title, keys, summary, two = (F.array_intersect(c, "asks") for c in (title, keys, summary, two))
+    each = lambda c, w: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(w).cast("double").alias("worth")))
+    held = read.where("node_id is not null").select(*by, "node_id", F.inline(F.concat(each(title, IN_TITLE), each(keys, IN_KEYS), each(summary, IN_SUMMARY), each(two, None))))
+    return held if by else held.join(_few(asks.select(F.explode("asks").alias("term")).distinct()), "term").select("node_id", "term", "worth")
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if there are at most FEW of them."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
 
 
 def question_weights(asked: DataFrame, nodes: DataFrame, outline: tuple[str, ...] = (), held: DataFrame | None = None) -> DataFrame:
@@ -26,7 +44,7 @@ def question_weights(asked: DataFrame, nodes: DataFrame, outline: tuple[str, ...
     Terms weigh more the fewer nodes have them, figures less. An outline without nodes counts as one of one node.
     """
     by = list(outline)
-    held = _node_terms(asked, nodes, by) if held is None else held
+    held = (_held(asked, nodes, by) if held is None else held).where("worth is not null")
     asked_terms = asked.select(*by, "question_id", F.explode(F.array_distinct("seq")).alias("term"))
     sizes = nodes.groupBy(*by).agg(F.count("*").alias("n_nodes"))
     counts = asked_terms.select(*by, "term").distinct().join(held.groupBy(*by, "term").agg(F.count("*").alias("df")), [*by, "term"], "left")
@@ -40,27 +58,29 @@ def rank_nodes(questions: DataFrame, nodes: DataFrame, outline: tuple[str, ...]
     """question_id, node_id, score, rank (and the outline's columns) for questions (question_id, text) and nodes (node_id, title, keys, summary, lo, hi; keys is text).
 
     Terms weigh more the fewer nodes have them, figures less. With `outline` (columns that both have, such as doc_id) a question is asked of the
-    nodes of its own outline only, and terms are weighed there; without, all nodes are one outline. Questions meet nodes through equal terms and
-    pairs of terms, never all with all. Kept are nodes with LEAST_SHARE of the question's best score; narrow ones come first, then those that
-    start earlier.
+    nodes of its own outline only, and terms are weighed there; without, all nodes are one outline. A node has one row. Questions meet nodes through
+    equal terms and pairs of terms, never all with all, and what they share is added up in one pass over the nodes. Kept are nodes with LEAST_SHARE
+    of the question's best score, told before any are put in order; narrow ones come first, then those that start earlier.
     """
     by = list(outline)
     asked = materialize(questions.select(*by, "question_id", content_terms(F.col("text")).alias("seq")))
     asked_pairs = asked.select(*by, "question_id", F.explode(pairs(F.col("seq"))).alias("pair"))
-    held = materialize(_node_terms(asked, nodes, by))
+    held = materialize(_held(asked, nodes, by))
     weighed = materialize(question_weights(asked, nodes, outline, held))
     weights = weighed.select(*by, "term", "w").distinct()
     sums = weighed.groupBy(*by, "question_id").agg(F.sum("w").alias("all"))
-    base = weighed.join(held, [*by, "term"]).groupBy(*by, "question_id", "node_id").agg(F.sum(F.col("w") * F.col("worth")).alias("base"))
-    node_pairs = nodes.select(*by, "node_id", F.explode(pairs(content_terms(F.concat_ws(" ", "title", "keys", "summary")))).alias("pair"))
     half = weights.select(*by, "term", (F.col("w") / 2).alias("half"))
     worth = asked_pairs.select(*by, "pair").distinct().select(*by, "pair", F.explode(F.split("pair", " ")).alias("term")).join(half, [*by, "term"]).groupBy(*by, "pair").agg(F.sum("half").alias("half"))
-    phrase = asked_pairs.join(worth, [*by, "pair"]).join(node_pairs, [*by, "pair"]).groupBy(*by, "question_id", "node_id").agg(F.sum("half").alias("phrase"))
-    scored = base.join(phrase, [*by, "question_id", "node_id"], "left").join(sums, [*by, "question_id"]).join(nodes.select(*by, "node_id", "lo", "hi"), [*by, "node_id"])
-    scored = scored.select(*by, "question_id", "node_id", "lo", "hi", (F.col("base") / (F.col("all") * 2) + F.coalesce("phrase", F.lit(0.0)) / F.col("all") * PHRASE).alias("score"))
-    asking = Window.partitionBy(*by, "question_id")
-    order = asking.orderBy(F.desc(F.round(F.col("score") / F.sqrt(F.col("hi") - F.col("lo") + 1), 9)), "lo", "node_id")
-    kept = scored.withColumn("best", F.max("score").over(asking)).where((F.col("best") > 0) & (F.col("score") >= F.col("best") * LEAST_SHARE))
+    none = F.lit(None).cast("double")
+    says = weighed.select(*by, "term", "question_id", "w", none.alias("half")).unionByName(asked_pairs.join(worth, [*by, "pair"]).select(*by, F.col("pair").alias("term"), "question_id", none.alias("w"), "half"))
+    met = held.join(says if by else _few(says), [*by, "term"])
+    met = met.groupBy(*by, "question_id", "node_id").agg(F.sum(F.col("w") * F.col("worth")).alias("base"), F.sum("half").alias("phrase")).where("base is not null")
+    scored = met.join(sums if by else _few(sums), [*by, "question_id"])
+    scored = materialize(scored.select(*by, "question_id", "node_id", (F.col("base") / (F.col("all") * 2) + F.coalesce("phrase", F.lit(0.0)) / F.col("all") * PHRASE).alias("score")))
+    best = scored.groupBy(*by, "question_id").agg(F.max("score").alias("best")).where("best > 0")
+    kept = scored.join(best if by else _few(best), [*by, "question_id"]).where(F.col("score") >= F.col("best") * LEAST_SHARE)
+    kept = kept.join(nodes.select(*by, "node_id", "lo", "hi"), [*by, "node_id"])
+    order = Window.partitionBy(*by, "question_id").orderBy(F.desc(F.round(F.col("score") / F.sqrt(F.col("hi") - F.col("lo") + 1), 9)), "lo", "node_id")
     return kept.select(*by, "question_id", "node_id", F.round("score", 6).alias("score"), F.row_number().over(order).alias("rank"))
 
 
