@@ -1,8 +1,15 @@
 """What is read how often, and how much of it a step carries: plans and counts that keep steps in bounds on large tables."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from veriquill.operators import ranking
+from veriquill.operators import answers, locate, ranking
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_nodes_are_read_once(spark):
@@ -20,3 +27,24 @@ def test_nodes_are_read_once(spark):
         ranked = ranking.rank_nodes(questions if by else questions.drop("doc_id"), nodes if by else nodes.drop("doc_id"), by).collect()
         assert [r.node_id for r in ranked if r["rank"] == 1] == [27] and len(ranked) == 20
         assert read.value == 20
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_lost_quotes_are_found_by_shuffle_too(spark, monkeypatch, few):
+    """Beyond FEW_GRAMS the k-grams of lost quotes are joined by a shuffle, up to it they are broadcast; both find the same places."""
+    monkeypatch.setattr(locate, "FEW_GRAMS", few)
+    rng = random.Random(5)
+    pages = [(doc, page, " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40))) for doc in range(4) for page in range(1, 8)]
+    cites = [(doc, k, (page + 3) % 7 + 1, " ".join(text.split()[5:15])) for k, (doc, page, text) in enumerate(pages)]
+    found = locate.locate(spark.createDataFrame(cites, "doc_id long, cite_id long, page long, quote string"), spark.createDataFrame(pages, "doc_id long, page long, text string")).collect()
+    assert sorted((r.doc_id, r.cite_id, r.found_page) for r in found) == [(doc, k, page) for k, (doc, page, _) in enumerate(pages)]
+    assert {r.stage for r in found} <= {"near", "document"} and any(r.stage == "document" for r in found)
+    far = spark.createDataFrame([(1, 1, "abcdefghijklmnopqrstuvwxyz" * 2)], "row long, doc_id long, q string")
+    joined = plan(spark.range(9).select(F.col("id").alias("gram")).join(locate.quote_grams(far), "gram"))
+    assert ("BroadcastHashJoin" in joined) == (few > 0)
+
+
+def test_answers_are_scanned_once(spark):
+    """One pass of Python over the answers, though exploding their cites filters them."""
+    raw = spark.createDataFrame([(1, 'Sales rose <cite page=1 quote="sales rose"/>.', 3)], "answer_id long, raw string, most_pages long")
+    assert plan(answers.cites_of(answers.with_cites(raw))).count("ArrowEvalPython") == 1

@@ -22,6 +22,8 @@ MATCH = "method string, score double, first_word int, last_word int, places int,
 #: Methods that verify a quote, and the squashed characters from which a quote is searched in the whole document.
 VERIFIED = ("exact", "fuzzy", "fragments")
 WHOLE_DOCUMENT = 24
+#: k-grams of lost quotes that are broadcast (16 bytes each and what a map needs for them).
+FEW_GRAMS = 500_000
 
 
 def _matches(find: Callable[[str, str], matching.Match | None], texts: pd.Series, wanted: pd.Series) -> pd.DataFrame:
@@ -148,6 +150,18 @@ def verified(match: str) -> Column:
     return F.coalesce(F.col(f"{match}.method").isin(*VERIFIED), F.lit(False))
 
 
+def quote_grams(far: DataFrame) -> DataFrame:
+    """row, gram: hashes of the k-grams of squashed quotes (row, doc_id, q) with their document, to find pages that may hold one.
+
+    They are broadcast up to FEW_GRAMS and joined by a shuffle beyond: by the size of far's file alone, without that of what is made of it, they would
+    be broadcast however many there are.
+    """
+    starts = F.sequence(F.lit(1), F.length("q") - BLOCK + 1)
+    grams = far.select("row", F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64("doc_id", F.substr("q", i, F.lit(BLOCK)))))).alias("gram"))
+    many = (far.agg(F.sum(F.length("q") - BLOCK + 1)).first()[0] or 0) > FEW_GRAMS
+    return grams.hint("merge") if many else F.broadcast(grams)
+
+
 def locate(cites: DataFrame, pages: DataFrame, neighbours: int = 1) -> DataFrame:
     """cites with n_pages, hint, text, found_page, stage and match: the cited page if the quote is verified there, else the nearest neighbour
     that verifies it (the earlier of two), else the nearest page of the document that holds it letter by letter, else what the cited page
@@ -165,9 +179,8 @@ def locate(cites: DataFrame, pages: DataFrame, neighbours: int = 1) -> DataFrame
     far = materialize(lost.join(near, "row", "left_anti").select("row", "doc_id", "hint", "quote", full_squash(F.col("quote")).alias("q")))
     far = far.where(F.length("q") >= WHOLE_DOCUMENT)
     sought = known_pages(pages.join(far.select("doc_id").distinct(), "doc_id", "left_semi"))
-    grams = far.select("row", "doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("q") - BLOCK + 1), lambda i: F.substr("q", i, F.lit(BLOCK))))).alias("gram"))
-    held = sought.select("doc_id", "page", F.explode(F.array_distinct(blocks(F.col("s")))).alias("gram"))
-    held = held.join(grams, ["doc_id", "gram"]).select("row", "doc_id", "page").distinct().join(far.drop("doc_id"), "row")
+    held = sought.select("doc_id", "page", F.explode(F.array_distinct(F.transform(blocks(F.col("s")), lambda b: F.xxhash64("doc_id", b)))).alias("gram"))
+    held = held.join(quote_grams(far), "gram").select("row", "doc_id", "page").distinct().join(far, ["row", "doc_id"])
     held = held.join(sought, ["doc_id", "page"]).where(F.contains("s", "q"))
     held = with_match(held, "found", "text", "quote")
     nearest = F.when(verified("found"), F.struct(F.abs(F.col("page") - F.col("hint")), "page"))
