@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import cites as C
 from ..functions.text import strip_markers
+from ..sources.shared import materialize
 from . import evidence, locate
 
 CITE = "struct<n: int, doc: string, page: long, quote: string, start: int, stop: int, claim: string>"
@@ -25,7 +26,8 @@ def with_cites(answers: DataFrame) -> DataFrame:
 
     A null answer is empty; without most_pages no page that a long holds is too high. Markers that a raw answer has itself go first.
     """
-    scanned = F.pandas_udf(_scanned, f"text string, dropped int, cites array<{CITE}>")
+    # told to be nondeterministic: else the filter that comes with exploding cites is pushed below and scans each answer a second time, in a worker of its own
+    scanned = F.pandas_udf(_scanned, f"text string, dropped int, cites array<{CITE}>").asNondeterministic()
     return answers.withColumn("answer", scanned(strip_markers(F.coalesce("raw", F.lit(""))), F.col("most_pages")))
 
 
@@ -42,7 +44,8 @@ def citations(answers: DataFrame, pages: DataFrame, labels: DataFrame, nodes: Da
     """
     cites = cites_of(answers).withColumnRenamed("answer_id", "doc_id")
     found = locate.resolve(cites.withColumn("cite_id", F.struct("cite_id", F.col("page").alias("cited_page"), "claim")), pages)
-    found = found.select("doc_id", "cite_id.*", "page", F.col("matched").alias("quote"), "source", "method", "score")
+    # written once: the section of each page and the rows themselves come from it, so that claims are aligned in Python once
+    found = materialize(found.select("doc_id", "cite_id.*", "page", F.col("matched").alias("quote"), "source", "method", "score"))
     printed = labels.select("doc_id", "page", F.col("label").alias("printed_page"))
     shown = found.select("doc_id", "page").distinct()
     sections = evidence.deepest_section(shown, nodes.select("doc_id", F.col("place").alias("node"), "depth", "lo", "hi"), "node")
