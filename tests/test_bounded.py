@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from veriquill.operators import answers, locate, ranking
+from veriquill.operators import answers, evidence, locate, ranking
 
 
 def plan(df):
@@ -48,3 +48,14 @@ def test_answers_are_scanned_once(spark):
     """One pass of Python over the answers, though exploding their cites filters them."""
     raw = spark.createDataFrame([(1, 'Sales rose <cite page=1 quote="sales rose"/>.', 3)], "answer_id long, raw string, most_pages long")
     assert plan(answers.cites_of(answers.with_cites(raw))).count("ArrowEvalPython") == 1
+
+
+def test_words_of_no_quote_are_not_shuffled(spark, monkeypatch):
+    """What texts may hold of quotes adds up where the text is; a document that comes twice gives the same windows."""
+    kept = []
+    monkeypatch.setattr(evidence, "materialize", lambda df: kept.append(df) or df)
+    texts = spark.createDataFrame([(1, "filler words then alpha beta gamma delta stand here"), (1, "other filler"), (2, "alpha alone")], "doc_id long, text string")
+    quotes = spark.createDataFrame([("q", "alpha beta gamma delta")], "item_id string, text string")
+    assert [(r.doc_id, r.pos, r.share) for r in evidence.densest_window(texts, quotes).collect()] == [(1, 6, 1.0)]
+    shuffles = [line for df in kept for line in plan(df).splitlines() if "Exchange hashpartitioning" in line and "tok" in line.split("ENSURE")[0]]
+    assert len(kept) == 1 and not shuffles

@@ -173,12 +173,14 @@ def densest_window(texts: DataFrame, quotes: DataFrame, accept: float = 0.55) ->
     quoted = quoted.where(~F.col("tok").isin(STOP_WORDS) & (F.length("tok") > 1))
     quoted = quoted.withColumn("w", F.least(F.length("tok"), F.lit(8)) + F.when(F.col("tok").rlike("[0-9]"), 3).otherwise(0))
     total = quoted.groupBy("item_id").agg(F.sum("w").alias("total"))
-    # a frame's score is at most the weight of all the quote's tokens that the text has: only texts that can reach `accept` are walked
-    held = texts.select("doc_id", F.explode(F.array_distinct(claim_tokens(F.col("text")))).alias("tok")).distinct()
+    # a frame's score is at most the weight of all the quote's tokens that the text has: only texts that can reach `accept` are walked. Texts are dealt
+    # out once by document, so that these weights add up where the text is; tokens that no quote has go no further. Repeated texts of a document only raise the bound
+    held = texts.select("doc_id", "text").repartition("doc_id").select("doc_id", F.explode(F.array_distinct(claim_tokens(F.col("text")))).alias("tok"))
     most = held.join(few(quoted.select("item_id", "tok", "w")), "tok").groupBy("doc_id", "item_id").agg(F.sum("w").alias("most"))
-    able = most.join(few(total), "item_id").where(F.col("most") >= F.col("total") * (accept - 1e-6)).select("doc_id", "item_id")
+    able = materialize(most.join(few(total), "item_id").where(F.col("most") >= F.col("total") * (accept - 1e-6)).select("doc_id", "item_id"))
     words = able.join(few(quoted), "item_id")
     places = texts.join(able.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode(claim_tokens(F.col("text"))).alias("pos", "tok"))
+    places = places.join(few(quoted.select("tok").distinct()), "tok", "left_semi")
     hits = places.join(words, ["doc_id", "tok"]).select("doc_id", "item_id", "pos", "tok", "w", "win")
     # a token counts in a frame if it is its last occurrence there: those from pos up to its next occurrence or the frame's end
     order = Window.partitionBy("doc_id", "item_id", "tok").orderBy("pos")
