@@ -63,6 +63,8 @@ def rank_nodes(questions: DataFrame, nodes: DataFrame, outline: tuple[str, ...]
     of the question's best score, told before any are put in order; narrow ones come first, then those that start earlier.
     """
     by = list(outline)
+    # questions of all documents are never broadcast, though the file that they are made of is small
+    meet = (lambda rows: rows.hint("merge")) if by else _few
     asked = materialize(questions.select(*by, "question_id", content_terms(F.col("text")).alias("seq")))
     asked_pairs = asked.select(*by, "question_id", F.explode(pairs(F.col("seq"))).alias("pair"))
     held = materialize(_held(asked, nodes, by))
@@ -70,15 +72,15 @@ def rank_nodes(questions: DataFrame, nodes: DataFrame, outline: tuple[str, ...]
     weights = weighed.select(*by, "term", "w").distinct()
     sums = weighed.groupBy(*by, "question_id").agg(F.sum("w").alias("all"))
     half = weights.select(*by, "term", (F.col("w") / 2).alias("half"))
-    worth = asked_pairs.select(*by, "pair").distinct().select(*by, "pair", F.explode(F.split("pair", " ")).alias("term")).join(half, [*by, "term"]).groupBy(*by, "pair").agg(F.sum("half").alias("half"))
+    worth = asked_pairs.select(*by, "pair").distinct().select(*by, "pair", F.explode(F.split("pair", " ")).alias("term")).join(meet(half), [*by, "term"]).groupBy(*by, "pair").agg(F.sum("half").alias("half"))
     none = F.lit(None).cast("double")
-    says = weighed.select(*by, "term", "question_id", "w", none.alias("half")).unionByName(asked_pairs.join(worth, [*by, "pair"]).select(*by, F.col("pair").alias("term"), "question_id", none.alias("w"), "half"))
-    met = held.join(says if by else _few(says), [*by, "term"])
+    says = weighed.select(*by, "term", "question_id", "w", none.alias("half")).unionByName(asked_pairs.join(meet(worth), [*by, "pair"]).select(*by, F.col("pair").alias("term"), "question_id", none.alias("w"), "half"))
+    met = held.join(meet(says), [*by, "term"])
     met = met.groupBy(*by, "question_id", "node_id").agg(F.sum(F.col("w") * F.col("worth")).alias("base"), F.sum("half").alias("phrase")).where("base is not null")
-    scored = met.join(sums if by else _few(sums), [*by, "question_id"])
+    scored = met.join(meet(sums), [*by, "question_id"])
     scored = materialize(scored.select(*by, "question_id", "node_id", (F.col("base") / (F.col("all") * 2) + F.coalesce("phrase", F.lit(0.0)) / F.col("all") * PHRASE).alias("score")))
     best = scored.groupBy(*by, "question_id").agg(F.max("score").alias("best")).where("best > 0")
-    kept = scored.join(best if by else _few(best), [*by, "question_id"]).where(F.col("score") >= F.col("best") * LEAST_SHARE)
+    kept = scored.join(meet(best), [*by, "question_id"]).where(F.col("score") >= F.col("best") * LEAST_SHARE)
     kept = kept.join(nodes.select(*by, "node_id", "lo", "hi"), [*by, "node_id"])
     order = Window.partitionBy(*by, "question_id").orderBy(F.desc(F.round(F.col("score") / F.sqrt(F.col("hi") - F.col("lo") + 1), 9)), "lo", "node_id")
     return kept.select(*by, "question_id", "node_id", F.round("score", 6).alias("score"), F.row_number().over(order).alias("rank"))
