@@ -72,9 +72,9 @@ def rank_nodes(questions: DataFrame, nodes: DataFrame, outline: tuple[str, ...]
     weights = weighed.select(*by, "term", "w").distinct()
     sums = weighed.groupBy(*by, "question_id").agg(F.sum("w").alias("all"))
     half = weights.select(*by, "term", (F.col("w") / 2).alias("half"))
-    worth = asked_pairs.select(*by, "pair").distinct().select(*by, "pair", F.explode(F.split("pair", " ")).alias("term")).join(meet(half), [*by, "term"]).groupBy(*by, "pair").agg(F.sum("half").alias("half"))
+    worth = asked_pairs.select(*by, "pair").distinct().select(*by, "pair", F.explode(F.split("pair", " ")).alias("term")).join(meet(half) if by else half, [*by, "term"]).groupBy(*by, "pair").agg(F.sum("half").alias("half"))
     none = F.lit(None).cast("double")
-    says = weighed.select(*by, "term", "question_id", "w", none.alias("half")).unionByName(asked_pairs.join(meet(worth), [*by, "pair"]).select(*by, F.col("pair").alias("term"), "question_id", none.alias("w"), "half"))
+    says = weighed.select(*by, "term", "question_id", "w", none.alias("half")).unionByName(asked_pairs.join(meet(worth) if by else worth, [*by, "pair"]).select(*by, F.col("pair").alias("term"), "question_id", none.alias("w"), "half"))
     met = held.join(meet(says), [*by, "term"])
     met = met.groupBy(*by, "question_id", "node_id").agg(F.sum(F.col("w") * F.col("worth")).alias("base"), F.sum("half").alias("phrase")).where("base is not null")
     scored = met.join(meet(sums), [*by, "question_id"])
