@@ -266,3 +266,62 @@ def test_scores_deal_out_units_not_terms(spark):
     scored = support.score_units(support.page_units(rows), questions, nodes, relevance)
     assert [tuple(r) for r in scored.select("unit", F.array_sort("matched")).collect()] == [(0, ["board", "rose"])]
     assert "explode(" not in scored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_the_same_in_tasks_of_python(spark):
+    """stems() of a unit in Python are its terms() as a column, whatever signs a text has."""
+    rng = random.Random(8)
+    signs = ["a", "b", "s", "ed", "ings", "ations", "Sales", "turn", "'", "’", "'s", "’s", " ", "  ", "\t", "12", ",345", ",34", ".5", ".", "é", "İ", "K", "ẞ", "Σ", "£", "-", "­", "日本", "cares", "cared", "nation", "nations", "0"]
+    texts = ["", "it's o's x's's don't", "fives fived cared carings"] + ["".join(rng.choice(signs) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for r in df.select("k", F.array_join(W.terms(F.col("t")), " ").alias("s")).collect():
+        assert U.stems(texts[r.k]) == r.s, texts[r.k]
+
+
+def asked_once(spark, text, question="Which board rose?", pages=1):
+    rows = spark.createDataFrame([(1, p + 1, text) for p in range(pages)], "doc_id long, page long, text string")
+    questions = spark.createDataFrame([(1, 0, question), (1, 1, "What fell later?")], "doc_id long, question_id long, text string")
+    nodes = spark.createDataFrame([(1, "a", "Board", "", "", 1, 1)], "doc_id long, node_id string, title string, keys string, summary string, lo long, hi long")
+    relevance = spark.createDataFrame([(1, 0, 1, 1.0)], "doc_id long, question_id long, page long, relevance double")
+    return rows, questions, nodes, relevance
+
+
+def test_units_of_a_question_are_dealt_out_once(spark):
+    """Units are shuffled once, by document, and neither sorted for it nor shuffled again for relevance or the best score; pages add their own."""
+    rows, questions, nodes, relevance = asked_once(spark, "The board rose to fame today. It fell later on.", pages=2)
+    scored = support.score_units(support.page_units(rows), questions, nodes, relevance)
+    got = {(r.question_id, r.page, r.unit): r.score for r in scored.collect()}
+    assert got.keys() == {(0, 1, 0), (0, 2, 0), (1, 1, 1), (1, 2, 1)}
+    assert got[0, 1, 0] == pytest.approx(got[0, 2, 0] / 0.7 * 1.2) and got[1, 1, 1] == got[1, 2, 1]
+    told = plan(scored).split("MapInArrow")[0]
+    assert told.count("Exchange") == 1 and "SortMergeJoin" not in told
+
+
+def test_picks_carry_their_texts(spark, monkeypatch):
+    """Answers come from units that are read once; scores shuffled once more to be picked only where they can be."""
+    rows, questions, nodes, relevance = asked_once(spark, "The board rose to fame today. It fell later on.")
+    kept = []
+    write = support.materialize
+    monkeypatch.setattr(support, "materialize", lambda df, *a: kept.append(plan(df)) or write(df, *a))
+    scored = support.score_units(support.page_units(rows), questions, nodes, relevance, texts=True)
+    picked = support.pick_units(scored)
+    assert sum("MapInArrow" in p for p in kept) == 1 and kept[1].split("MapInArrow")[0].count("Exchange") == 1
+    raws = {r.question_id: r.raw for r in support.compose(picked).collect()}
+    assert raws == {r.question_id: r.raw for r in support.compose(support.pick_units(support.score_units(support.page_units(rows), questions, nodes, relevance)), support.page_units(rows)).collect()}
+    assert raws[0] == 'The board rose to fame today. <cite doc="d" page="1" quote="The board rose to fame today."/>'
+
+
+def test_nodes_stay_one_row(spark, monkeypatch):
+    """With an outline's columns a node is one row whatever it shares with questions; a question that comes twice ranks nodes as once."""
+    kept = []
+    write = ranking.materialize
+    monkeypatch.setattr(ranking, "materialize", lambda df, *a: kept.append(write(df, *a)) or kept[-1])
+    nodes = spark.createDataFrame([(1, k, "net sales of homes", "", f"part {k} of sales", k, k) for k in range(20, 40)], "doc_id long, node_id long, title string, keys string, summary string, lo long, hi long")
+    questions = spark.createDataFrame([(1, 1, "net sales of part 27"), (2, 1, "sales")], "doc_id long, question_id long, text string")
+    once = ranking.rank_nodes(questions, nodes, ("doc_id",)).collect()
+    assert kept[1].count() == 20 and len(once) == 20 and next(r.node_id for r in once if r["rank"] == 1) == 27
+    assert sorted(map(tuple, ranking.rank_nodes(questions.union(questions), nodes, ("doc_id",)).collect())) == sorted(map(tuple, once))

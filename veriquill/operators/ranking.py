@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.terms import content, content_terms, pairs, terms
 from ..sources.shared import materialize
@@ -18,7 +20,7 @@ def _held(asked: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
     """by, node_id, term, worth: what nodes hold of the terms and pairs of terms of questions (by, question_id, seq) of their outline.
 
     A term counts where it is worth most; pairs have no worth. Each node's texts are read once and nothing of them is shuffled but, with an outline's
-    columns, the node itself, to meet all that its questions ask.
+    columns, the node itself, to meet all that its questions ask. It then stays one row, with an array `has` of term and worth.
     """
     none = F.array().cast("array<string>")
     read = nodes.select(*by, "node_id", *[F.coalesce(terms(F.col(c)), none).alias(c) for c in ("title", "keys", "summary")])
@@ -29,8 +31,17 @@ def _held(asked: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
         read = read.join(asks.groupBy(*by).agg(F.array_distinct(F.flatten(F.collect_list("asks"))).alias("asks")), by)
         title, keys, summary, two = (F.array_intersect(c, "asks") for c in (title, keys, summary, two))
     each = lambda c, w: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(w).cast("double").alias("worth")))
-    held = read.where("node_id is not null").select(*by, "node_id", F.inline(F.concat(each(title, IN_TITLE), each(keys, IN_KEYS), each(summary, IN_SUMMARY), each(two, None))))
-    return held if by else held.join(_few(asks.select(F.explode("asks").alias("term")).distinct()), "term").select("node_id", "term", "worth")
+    has = F.concat(each(title, IN_TITLE), each(keys, IN_KEYS), each(summary, IN_SUMMARY), each(two, None))
+    read = read.where("node_id is not null").select(*by, "node_id", has.alias("has"))
+    if by:
+        return read
+    held = read.select("node_id", F.inline("has"))
+    return held.join(_few(asks.select(F.explode("asks").alias("term")).distinct()), "term").select("node_id", "term", "worth")
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """rows, to be joined by a shuffle."""
+    return rows.hint("merge")
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -44,7 +55,8 @@ def question_weights(asked: DataFrame, nodes: DataFrame, outline: tuple[str, ...
     Terms weigh more the fewer nodes have them, figures less. An outline without nodes counts as one of one node.
     """
     by = list(outline)
-    held = (_held(asked, nodes, by) if held is None else held).where("worth is not null")
+    held = _held(asked, nodes, by) if held is None else held
+    held = (held.select(*by, F.inline("has")) if by else held).where("worth is not null")
     asked_terms = asked.select(*by, "question_id", F.explode(F.array_distinct("seq")).alias("term"))
     sizes = nodes.groupBy(*by).agg(F.count("*").alias("n_nodes"))
     counts = asked_terms.select(*by, "term").distinct().join(held.groupBy(*by, "term").agg(F.count("*").alias("df")), [*by, "term"], "left")
@@ -54,31 +66,71 @@ def question_weights(asked: DataFrame, nodes: DataFrame, outline: tuple[str, ...
     return asked_terms.join(counts.select(*by, "term", weight.alias("w")), [*by, "term"])
 
 
-def rank_nodes(questions: DataFrame, nodes: DataFrame, outline: tuple[str, ...] = ()) -> DataFrame:
+class Weighed(NamedTuple):
+    """Questions as terms (by, question_id, text, seq), what nodes hold of them, and what each term of a question weighs."""
+
+    asked: DataFrame
+    held: DataFrame
+    weights: DataFrame
+
+
+def weigh(questions: DataFrame, nodes: DataFrame, outline: tuple[str, ...] = ()) -> Weighed:
+    """What rank_nodes() and support.score_units() both start from, read and worked out once."""
+    by = list(outline)
+    asked = materialize(questions.select(*by, "question_id", "text", content_terms(F.col("text")).alias("seq")))
+    held = materialize(_held(asked, nodes, by))
+    return Weighed(asked, held, materialize(question_weights(asked, nodes, outline, held)))
+
+
+def _score(base: Column, phrase: Column, all_weights: Column) -> Column:
+    return base / (all_weights * 2) + phrase / all_weights * PHRASE
+
+
+def _sums(asked: DataFrame, held: DataFrame, weights: DataFrame) -> DataFrame:
+    """question_id, node_id, score: where all nodes are one outline, a row for each term or pair that a node and a question share, added up."""
+    asked_pairs = asked.select("question_id", F.explode(pairs(F.col("seq"))).alias("pair"))
+    sums = weights.groupBy("question_id").agg(F.sum("w").alias("all"))
+    half = weights.select("term", "w").distinct().select("term", (F.col("w") / 2).alias("half"))
+    worth = asked_pairs.select("pair").distinct().select("pair", F.explode(F.split("pair", " ")).alias("term")).join(half, "term").groupBy("pair").agg(F.sum("half").alias("half"))
+    none = F.lit(None).cast("double")
+    says = weights.select("term", "question_id", "w", none.alias("half")).unionByName(asked_pairs.join(worth, "pair").select(F.col("pair").alias("term"), "question_id", none.alias("w"), "half"))
+    met = held.join(_few(says), "term")
+    met = met.groupBy("question_id", "node_id").agg(F.sum(F.col("w") * F.col("worth")).alias("base"), F.sum("half").alias("phrase")).where("base is not null")
+    return met.join(_few(sums), "question_id").select("question_id", "node_id", _score(F.col("base"), F.coalesce("phrase", F.lit(0.0)), F.col("all")).alias("score"))
+
+
+def _sums_of_outlines(asked: DataFrame, held: DataFrame, weights: DataFrame, by: list[str]) -> DataFrame:
+    """by, question_id, node_id, score: each node, one row, meets all questions of its outline at once, and adds up what it shares with each."""
+    # sets, as a question may come twice
+    of = F.map_from_entries(F.array_sort(F.collect_set(F.struct("term", "w"))))
+    asked_pairs = asked.groupBy(*by, "question_id").agg(F.array_distinct(F.flatten(F.collect_list(pairs(F.col("seq"))))).alias("pairs"))
+    says = weights.groupBy(*by, "question_id").agg(of.alias("w")).join(_met(asked_pairs), [*by, "question_id"])
+    all_weights = F.aggregate(F.map_values("w"), F.lit(0.0), lambda a, w: a + w)
+    half = lambda p: F.aggregate(F.split(p, " "), F.lit(0.0), lambda a, t: a + F.try_element_at("w", t) / 2)
+    two = F.map_from_entries(F.transform("pairs", lambda p: F.struct(p, half(p))))
+    says = says.select(*by, F.struct("question_id", all_weights.alias("all"), F.map_concat("w", two).alias("worth")).alias("q")).groupBy(*by).agg(F.collect_list("q").alias("q"))
+    rows = held.join(_met(says), by).select(*by, "node_id", "has", F.inline("q"))
+    found = F.filter(F.transform("has", lambda h: F.struct(h.worth.alias("worth"), F.try_element_at("worth", h.term).alias("w"))), lambda h: h.w.isNotNull())
+    rows = rows.select(*by, "question_id", "node_id", "all", found.alias("found")).where(F.exists("found", lambda h: h.worth.isNotNull()))
+    base = F.aggregate("found", F.lit(0.0), lambda a, h: a + F.coalesce(h.w * h.worth, F.lit(0.0)))
+    phrase = F.aggregate("found", F.lit(0.0), lambda a, h: a + F.when(h.worth.isNull(), h.w).otherwise(0.0))
+    return rows.select(*by, "question_id", "node_id", _score(base, phrase, F.col("all")).alias("score"))
+
+
+def rank_nodes(questions: DataFrame, nodes: DataFrame, outline: tuple[str, ...] = (), weighed: Weighed | None = None) -> DataFrame:
     """question_id, node_id, score, rank (and the outline's columns) for questions (question_id, text) and nodes (node_id, title, keys, summary, lo, hi; keys is text).
 
     Terms weigh more the fewer nodes have them, figures less. With `outline` (columns that both have, such as doc_id) a question is asked of the
     nodes of its own outline only, and terms are weighed there; without, all nodes are one outline. A node has one row. Questions meet nodes through
     equal terms and pairs of terms, never all with all, and what they share is added up in one pass over the nodes. Kept are nodes with LEAST_SHARE
-    of the question's best score, told before any are put in order; narrow ones come first, then those that start earlier.
+    of the question's best score, told before any are put in order; narrow ones come first, then those that start earlier. weighed: weigh() of the
+    same, if something else needs it too.
     """
     by = list(outline)
     # questions of all documents are never broadcast, though the file that they are made of is small
-    meet = (lambda rows: rows.hint("merge")) if by else _few
-    asked = materialize(questions.select(*by, "question_id", content_terms(F.col("text")).alias("seq")))
-    asked_pairs = asked.select(*by, "question_id", F.explode(pairs(F.col("seq"))).alias("pair"))
-    held = materialize(_held(asked, nodes, by))
-    weighed = materialize(question_weights(asked, nodes, outline, held))
-    weights = weighed.select(*by, "term", "w").distinct()
-    sums = weighed.groupBy(*by, "question_id").agg(F.sum("w").alias("all"))
-    half = weights.select(*by, "term", (F.col("w") / 2).alias("half"))
-    worth = asked_pairs.select(*by, "pair").distinct().select(*by, "pair", F.explode(F.split("pair", " ")).alias("term")).join(meet(half) if by else half, [*by, "term"]).groupBy(*by, "pair").agg(F.sum("half").alias("half"))
-    none = F.lit(None).cast("double")
-    says = weighed.select(*by, "term", "question_id", "w", none.alias("half")).unionByName(asked_pairs.join(meet(worth) if by else worth, [*by, "pair"]).select(*by, F.col("pair").alias("term"), "question_id", none.alias("w"), "half"))
-    met = held.join(meet(says), [*by, "term"])
-    met = met.groupBy(*by, "question_id", "node_id").agg(F.sum(F.col("w") * F.col("worth")).alias("base"), F.sum("half").alias("phrase")).where("base is not null")
-    scored = met.join(meet(sums), [*by, "question_id"])
-    scored = materialize(scored.select(*by, "question_id", "node_id", (F.col("base") / (F.col("all") * 2) + F.coalesce("phrase", F.lit(0.0)) / F.col("all") * PHRASE).alias("score")))
+    meet = _met if by else _few
+    asked, held, weights_of = weighed or weigh(questions, nodes, outline)
+    scored = materialize(_sums_of_outlines(asked, held, weights_of, by) if by else _sums(asked, held, weights_of))
     best = scored.groupBy(*by, "question_id").agg(F.max("score").alias("best")).where("best > 0")
     kept = scored.join(meet(best), [*by, "question_id"]).where(F.col("score") >= F.col("best") * LEAST_SHARE)
     kept = kept.join(nodes.select(*by, "node_id", "lo", "hi"), [*by, "node_id"])

@@ -61,30 +61,29 @@ def outline_ranks(spark, d):
     return ranked.select("doc_id", "question_id", _joined("node_id").alias("place"), "score", "rank")
 
 
-def _scored(spark, d, units):
+def _scored(spark, d, texts=False):
     nodes = materialize(outline.ranked_nodes(_nodes(spark, d)))
     questions = S.report_questions(spark, d)
-    ranked = ranking.rank_nodes(questions, nodes, ("doc_id",))
+    weighed = ranking.weigh(questions, nodes, ("doc_id",))
+    ranked = ranking.rank_nodes(questions, nodes, ("doc_id",), weighed)
     relevance = outline.page_relevance(ranked, nodes, ("doc_id", "question_id"))
-    return support.score_units(units, questions, nodes, relevance)
+    return support.score_units(support.page_units(S.report_pages(spark, d)), questions, nodes, relevance, weighed, texts)
 
 
 @query()
 def unit_scores(spark, d):
-    scored = _scored(spark, d, support.page_units(S.report_pages(spark, d)))
-    return scored.select("doc_id", "question_id", "page", "unit", "score", F.array_join(F.array_sort("matched"), " ").alias("matched"))
+    return _scored(spark, d).select("doc_id", "question_id", "page", "unit", "score", F.array_join(F.array_sort("matched"), " ").alias("matched"))
 
 
 @query()
 def unit_pick(spark, d):
-    return support.pick_units(_scored(spark, d, support.page_units(S.report_pages(spark, d)))).select("doc_id", "question_id", "page", "unit", "score", "pick")
+    return support.pick_units(_scored(spark, d)).select("doc_id", "question_id", "page", "unit", "score", "pick")
 
 
 @query()
 def support_answers(spark, d):
     """Answers of picked units, with a cite of each unit's best words."""
-    units = materialize(support.page_units(S.report_pages(spark, d)), "zstd")
-    return support.compose(support.pick_units(_scored(spark, d, units)), units).select("answer_id", "question_id", F.md5("raw").alias("raw"))
+    return support.compose(support.pick_units(_scored(spark, d, texts=True))).select("answer_id", "question_id", F.md5("raw").alias("raw"))
 
 
 _PLAIN = "regexp_replace(text, '<cite[^>]*/>|\\[\\[c[0-9]+\\]\\]|\\[[0-9]+(?:,\\s*[0-9]+)*\\]', '', 'g')"

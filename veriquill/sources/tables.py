@@ -19,43 +19,52 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
 REPORT_LINES, SECTION, CHAPTER = 12, 4, 16
 
 
-def report_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, page, text: reports made of documents, REPORT_LINES lines a page with a running head, a heading, a word cut at a line's end and a
-    table of two rows; every fifth page has its number at its end."""
+def first_words(text: Column, n: int) -> Column:
+    """The first n words of a text, white space between them; the rest of the text is not cut."""
+    return F.slice(F.split(text, "\\s+", n + 1), 1, n)
+
+
+def _reports(spark: SparkSession, folder: str) -> DataFrame:
+    """report_pages() with n, the report's pages."""
     docs = read(spark, folder, "documents").where("text is not null").select("doc_id", F.split("text", "\n").alias("lines"))
     pages = docs.select("doc_id", "lines", F.posexplode(F.sequence(F.lit(0), F.size("lines") - 1, F.lit(REPORT_LINES))).alias("k", "first"))
-    pages = pages.select("doc_id", (F.col("k") + 1).cast("long").alias("page"), F.slice("lines", F.col("first") + 1, REPORT_LINES).alias("lines"))
+    n = F.floor((F.size("lines") - 1) / REPORT_LINES) + 1
+    pages = pages.select("doc_id", n.alias("n"), (F.col("k") + 1).cast("long").alias("page"), F.slice("lines", F.col("first") + 1, REPORT_LINES).alias("lines"))
     word = lambda k, n: F.array_join(F.slice(F.split(F.get("lines", F.lit(0)), " "), k, n), " ")
     amount = lambda x: F.format_number(x, 0)
     a, b = F.col("doc_id") * 37 + F.col("page") * 1009, F.col("doc_id") * 11 + F.col("page") * 211
     table = [F.lit("£m 2025/26 2024/25"), F.concat(word(1, 2), F.lit(" "), amount(a), F.lit(" ("), amount(b), F.lit(")")), F.concat(F.lit("Capital expenditure "), amount(a + b), F.lit(" n/m"))]
     head = [F.concat(F.lit("Annual Report "), F.col("page")), F.lit(""), F.lit("Review of the period"), F.concat(F.lit("Net sales of the "), word(1, 3), F.lit(" busi-")), F.concat(F.lit("ness rose to £"), amount(a), F.lit(" million."))]
     foot = F.when(F.col("page") % 5 == 0, F.array(F.concat(word(1, 2), F.lit(" "), F.col("page")))).otherwise(F.array().cast("array<string>"))
-    return pages.select("doc_id", "page", F.array_join(F.concat(F.array(*head), F.col("lines"), F.array(F.lit(""), *table), foot), "\n").alias("text"))
+    return pages.select("doc_id", "n", "page", F.array_join(F.concat(F.array(*head), F.col("lines"), F.array(F.lit(""), *table), foot), "\n").alias("text"))
+
+
+def report_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, page, text: reports made of documents, REPORT_LINES lines a page with a running head, a heading, a word cut at a line's end and a
+    table of two rows; every fifth page has its number at its end."""
+    return _reports(spark, folder).select("doc_id", "page", "text")
 
 
 def outlines(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, created_at, tree: JSON outlines of reports, sections of SECTION pages in chapters of CHAPTER pages under one root. Every fifth
     document's tree has things in it that are no nodes, and each document an older tree that is no JSON."""
-    pages = report_pages(spark, folder)
-    # only the words that a node says are carried on
-    told = pages.select("doc_id", F.col("page").alias("lo"), F.slice(F.split(F.regexp_replace("text", "\\s+", " "), " "), 8, 30).alias("w"))
-    words = lambda k, n: F.array_join(F.slice("w", k, n), " ")
-    last = pages.groupBy("doc_id").agg(F.max("page").alias("n"))
-
-    def level(name: str, width: int | None, *extra: str) -> DataFrame:
-        rows = told.join(last, "doc_id").where((F.col("lo") - 1) % width == 0 if width else F.col("lo") == 1)
+    # a section's first page is that of its chapter and of the root too, so one pass over the pages tells what all nodes say
+    said = F.slice(first_words(F.col("text"), 37), 8, 30)
+    rows = _reports(spark, folder).where((F.col("page") - 1) % SECTION == 0).select("doc_id", "n", F.col("page").alias("lo"), said.alias("w"))
+    words = lambda n: F.array_join(F.slice("w", 1, n), " ")
+    rows = rows.select("doc_id", "n", "lo", words(4).alias("title"), words(30).alias("summary"))
+
+    def fields(name: str, width: int | None) -> list[Column | str]:
         hi = F.least("n", F.col("lo") + width - 1) if width else F.col("n")
-        node_id = F.concat_ws("-", F.lit("n"), F.lit(name), "lo")
-        return rows.select("doc_id", "lo", words(1, 4).alias("title"), node_id.alias("node_id"), F.col("lo").alias("start_index"), hi.alias("end_index"), words(1, 30).alias("summary"))
+        return ["title", F.concat_ws("-", F.lit("n"), F.lit(name), "lo").alias("node_id"), F.col("lo").alias("start_index"), hi.alias("end_index"), "summary"]
 
-    def under(parents: DataFrame, children: DataFrame, width: int | None) -> DataFrame:
-        above = F.col("lo") - (F.col("lo") - 1) % width if width else F.lit(1).cast("long")
-        node = F.struct(*[c for c in children.columns if c not in ("doc_id", "lo")])
-        inside = children.groupBy("doc_id", above.alias("lo")).agg(F.transform(F.array_sort(F.collect_list(F.struct("lo", node.alias("node")))), lambda x: x.node).alias("nodes"))
-        return parents.join(inside, ["doc_id", "lo"])
+    def above(rows: DataFrame, width: int | None, *node: Column | str) -> DataFrame:
+        lo = F.col("lo") - (F.col("lo") - 1) % width if width else F.lit(1).cast("long")
+        inside = F.transform(F.array_sort(F.collect_list(F.struct("lo", F.struct(*node).alias("node")))), lambda x: x.node)
+        up = rows.groupBy("doc_id", lo.alias("lo")).agg(F.max("n").alias("n"), inside.alias("nodes"))
+        return up.select("doc_id", "n", "lo", F.get("nodes", F.lit(0)).title.alias("title"), F.get("nodes", F.lit(0)).summary.alias("summary"), "nodes")
 
-    tree = under(level("0", None), under(level("1", CHAPTER), level("2", SECTION), CHAPTER), None)
+    tree = above(above(rows, CHAPTER, *fields("2", SECTION)), None, *fields("1", CHAPTER), "nodes").select("doc_id", *fields("0", None), "nodes")
     text = F.to_json(F.array(F.struct("title", "node_id", "start_index", "end_index", "summary", "nodes")))
     odd = F.concat(F.lit('["no node", null, {"title": "Backwards", "start_index": 9, "end_index": 3}, {"title": "  ", "start_index": "1", "end_index": "1"}, '), F.substr(text, F.lit(2)))
     newest = F.when(F.col("doc_id") % 5 == 0, odd).otherwise(text)
@@ -65,7 +74,7 @@ def outlines(spark: SparkSession, folder: str) -> DataFrame:
 
 def report_questions(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, question_id, text: two questions about each report, one about an amount."""
-    docs = read(spark, folder, "documents").where("text is not null").select("doc_id", F.split(F.regexp_replace("text", "\\s+", " "), " ").alias("w"))
+    docs = read(spark, folder, "documents").where("text is not null").select("doc_id", first_words(F.col("text"), 10).alias("w"))
     part = lambda k, n: F.array_join(F.slice("w", k, n), " ")
     asked = F.array(F.concat(F.lit("How much were net sales of the "), part(1, 3), F.lit(" business?")), F.concat(F.lit("What is said of "), part(5, 6), F.lit("?")))
     return docs.select("doc_id", F.posexplode(asked).alias("k", "text")).select("doc_id", F.col("k").cast("long").alias("question_id"), "text")
